@@ -24,31 +24,37 @@ DIGIT_BITS = 16
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def ordered_int(x: Column) -> Column:
-    """Order-preserving integer of a finite double: its IEEE bits, negated below zero; NULL if not finite or NULL.
+def with_ordered_int(df: DataFrame, value: str, keep: Sequence[str], name: str) -> DataFrame:
+    """The ``keep`` columns and, as ``name``, an order-preserving integer of each finite value: its IEEE bits, negated below 0.
 
-    The exponent comes from a logarithm, put right by comparison with the powers of two on either side;
-    scaling by a power of two is exact, so the mantissa is too. Both zeros give 0.
+    Rows whose value is NULL, NaN or infinite are dropped. The exponent comes from a logarithm, put right by
+    comparison with the power of two; scaling by a power of two is exact, so the mantissa is too. Both zeros
+    give 0. Each step is a projection of its own, so that no step is computed more than once a row.
     """
-    x = x.cast("double")
-    m = F.abs(x)
-    normal = m >= F.lit(2.0**-1022)
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(1.7976931348623157e308))).select(*keep, x.alias("x_"))
+    m = F.abs("x_")
     # values near the ends of the range are scaled first, so that neither a power nor a quotient over- or underflows
     high, low = m >= F.lit(2.0**1000), m < F.lit(2.0**-900)
-    shift = F.when(high, F.lit(-600)).when(low, F.lit(600)).otherwise(F.lit(0))
-    y = F.when(high, m * F.lit(2.0**-600)).when(low, m * F.lit(2.0**600)).otherwise(m)
-    guess = F.floor(F.log2(y))
-    e = guess + F.when(y >= F.pow(F.lit(2.0), guess + 1), F.lit(1)).when(y < F.pow(F.lit(2.0), guess), F.lit(-1)).otherwise(F.lit(0))
-    mantissa = (y / F.pow(F.lit(2.0), e) - F.lit(1.0)) * F.lit(2.0**52)
-    bits = (e - shift + F.lit(1023)) * F.lit(1 << 52) + mantissa.cast("bigint")
-    tiny = (m * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
-    finite = x.isNotNull() & ~F.isnan(x) & (m <= F.lit(1.7976931348623157e308))
-    magnitude = F.when(m == 0, F.lit(0).cast("bigint")).when(normal, bits).otherwise(tiny)
-    return F.when(finite, F.when(x < 0, -magnitude).otherwise(magnitude))
+    step = rows.select(
+        *keep, "x_", F.when(high, m * F.lit(2.0**-600)).when(low, m * F.lit(2.0**600)).otherwise(m).alias("y_"),
+        F.when(high, F.lit(1623)).when(low, F.lit(423)).otherwise(F.lit(1023)).cast("bigint").alias("bias_"),
+    )
+    step = step.select("*", F.floor(F.log2("y_")).alias("e_"))
+    step = step.select("*", F.pow(F.lit(2.0), F.col("e_")).alias("p_"))
+    y, p = F.col("y_"), F.col("p_")
+    off = F.when(y >= p * 2, F.lit(1)).when(y < p, F.lit(-1)).otherwise(F.lit(0))
+    scale = F.when(y >= p * 2, F.lit(0.5)).when(y < p, F.lit(2.0)).otherwise(F.lit(1.0))
+    step = step.select(*keep, "x_", (F.col("e_") + off + F.col("bias_")).alias("e_"), (y / p * scale - 1).alias("f_"))
+    tiny = (F.abs("x_") * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    normal = F.col("e_") * F.lit(1 << 52) + (F.col("f_") * F.lit(2.0**52)).cast("bigint")
+    magnitude = F.when(F.col("e_") > 0, normal).otherwise(tiny)
+    step = step.select(*keep, "x_", F.when(F.col("x_") == 0, F.lit(0).cast("bigint")).otherwise(magnitude).alias("c_"))
+    return step.select(*keep, F.when(F.col("x_") < 0, -F.col("c_")).otherwise(F.col("c_")).alias(name))
 
 
 def value_of(code: Column) -> Column:
-    """The double whose ordered_int is the code."""
+    """The double whose ordered integer is the code."""
     c = F.abs(code)
     e, mantissa = F.shiftright(c, 52), c.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
     half = (e - F.lit(1023)) / F.lit(2.0)
@@ -65,8 +71,8 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, bits: int = 20) -> D
     1 + 2**(12 - bits) of the exact one. NULL, NaN and infinite values and rows with a null group column
     don't count. Columns: the group columns, ``digit``, ``n``.
     """
-    rows = df.where(_grouped(by)).select(*by, F.shiftright(ordered_int(F.col(value)), 64 - bits).alias("digit"))
-    return rows.where(F.col("digit").isNotNull()).groupBy(*by, "digit").agg(F.count(F.lit(1)).alias("n"))
+    rows = with_ordered_int(df.where(_grouped(by)), value, list(by), "code").select(*by, F.shiftright("code", 64 - bits).alias("digit"))
+    return rows.groupBy(*by, "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(summaries: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -99,11 +105,11 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence
 
     NULL, NaN and infinite values and rows with a null group column don't count; a group without any other value has
     no row; ties and repeated rows count as often as they occur; empty input gives no rows. Group columns may
-    have any name but ``code``, ``target``, ``rank`` and ``digit``. Columns: the group columns, ``n`` and
+    have any name but ``code``, ``prefix``, ``target``, ``rank``, ``digit`` and those ending in an underscore. Columns: the group columns, ``n`` and
     one double ``p<percent>`` each.
     """
     by, percents = list(by), sorted(set(percents))
-    rows = df.where(_grouped(by)).select(*by, ordered_int(F.col(value)).alias("code")).where(F.col("code").isNotNull())
+    rows = with_ordered_int(df.where(_grouped(by)), value, by, "code")
     targets, followed = None, rows
     for level in range(64 // DIGIT_BITS):
         shift = 64 - DIGIT_BITS * (level + 1)
