@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import nearest, packing, radix, tokens
+from tickloom.llm import abuse, nearest, packing, radix, tokens
 from tickloom.storage import table
 
 STATION = ["run_id", "line", "station"]
@@ -48,7 +48,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pack(spark, sf_dir).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_mergeable, p5_found, p5_nearest, p7_ids, p8_found, p8_pack)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_mergeable, p5_found, p5_nearest, p7_ids, p8_found, p8_pack, p9_found, p9_scores, p9_rates)}
 
 _RANKS = """v AS (SELECT run_id, line, station, price, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY run_id, line, station) AS n
     FROM factory_ticks WHERE isfinite(price) AND line IS NOT NULL AND station IS NOT NULL AND run_id IS NOT NULL
