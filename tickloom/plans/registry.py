@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import problems
+from tickloom.plans import agents, problems, relational, temporal
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
-FLAGSHIP = problems.p1_grid
+_PARTS = (problems, relational, temporal, agents)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+FLAGSHIP = QUERIES["xbar_ohlcv"]

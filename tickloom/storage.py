@@ -21,14 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", whole_files: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: survives lost executors, cuts lineage.
 
-    The table is removed when the driver's JVM ends.
+    With ``whole_files`` each partition is written as one row group, which one task reads in the order written. The
+    table is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", str(2**31 - 1)) if whole_files else df.write
+    writer.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
