@@ -105,7 +105,7 @@ def _(e):
     return store.cache_lookup(entries, asked, NOW_NS, 0.2).select("request", F.round("similarity", 5).alias("similarity"))
 
 
-@query("mem_token_estimate", "SELECT doc_id, (octet_length(CAST(text AS BLOB)) + 3) // 4 AS tokens FROM documents", "documents")
+@query("mem_token_estimate", "SELECT doc_id, (strlen(text) + 3) // 4 AS tokens FROM documents", "documents")
 def _(d):
     return d.select("doc_id", store.estimated_tokens("text").cast("bigint").alias("tokens"))
 

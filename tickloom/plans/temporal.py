@@ -100,9 +100,9 @@ def _(t, q):
     return a.join(b, F.col("t_symbol") == F.col("q_symbol"), "full")
 
 
-@query("join_post_where", "SELECT query_id, d.selected_action, quality_label FROM fleet_decision_table d JOIN edge_outbox_table o USING (query_id) WHERE quality_label LIKE '%o%' AND d.edge_latency_ms > 10", "fleet_decision_table", "edge_outbox_table")
+@query("join_post_where", "SELECT query_id, d.selected_action, quality_label FROM fleet_decision_table d JOIN edge_outbox_table o USING (query_id) WHERE quality_label LIKE 'risky%' AND d.edge_latency_ms > 10", "fleet_decision_table", "edge_outbox_table")
 def _(d, o):
-    right = o.where(F.col("quality_label").like("%o%")).select("query_id", "quality_label")
+    right = o.where(F.col("quality_label").like("risky%")).select("query_id", "quality_label")
     return d.where("edge_latency_ms > 10").select("query_id", "selected_action").join(right, "query_id")
 
 
