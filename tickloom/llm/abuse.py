@@ -9,10 +9,12 @@ somebody, not at oneself or a thing, a degrading term where it is said of a grou
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -89,7 +91,7 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, tuple[str, frozenset[str]]] = {}
 
     def nearest(self, letters: list[str], errors: int) -> str | None:
         """The listed word at the least distance; a harmless one, then the first by alphabet, among equals.
@@ -113,17 +115,17 @@ class Lexicon:
                     stack.append((child, then))
         return best and best[2]
 
-    def correct(self, token: str) -> str:
-        """The listed word that the token is, or misspells; else the token itself."""
-        if token in self.parts:
-            return token
-        if (hit := self.cache.get(token)) is None:
-            hit = self._correct(token)
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[token] = hit
+    def look(self, token: str) -> tuple[str, frozenset[str]]:
+        """The listed word that the token is, or misspells, with its parts; else the token itself, without any."""
+        word = token if token in self.parts else self._correct(token)
+        if len(self.cache) >= CACHED_WORDS:
+            self.cache.clear()
+        self.cache[token] = hit = (word, self.parts.get(word, frozenset()))
         return hit
 
+    def correct(self, token: str) -> str:
+        return (self.cache.get(token) or self.look(token))[0]
+
     def _correct(self, token: str) -> str:
         n = len(token)
         if n < 2 or n > LONGEST_WORD:
@@ -148,10 +150,10 @@ class Lexicon:
 
 HIDDEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠎︀-️]|\p{Mn}")
 FOLD = str.maketrans(L.LOOKALIKES)
-APART = regex.compile(r"(?<![\w.])\w(?:([.\-_· ])\w)(?:\1\w)+(?![\w])")
+APART = re.compile(r"(?<![\w.])\w(?:([.\-_· ])\w)(?:\1\w)+(?![\w])")
 SPACED_END = regex.compile(r"(?<=[.]\w)[.] [.](?=\w(?:[.]|$))")
-ENDS = regex.compile(r"[\n\r]+|(?<=[.?!])[\"')\]]*\s+")
-TOKENS = regex.compile(r"[\p{L}\p{N}@$€*!+]+")
+ENDS = re.compile(r"[\n\r]+|(?<=[.?!])[\"')\]]*\s+")
+TOKENS = re.compile(r"[\w@$€*]+(?:[!+]+[\w@$€*]+)*").findall
 
 
 @lru_cache(maxsize=2)
@@ -159,10 +161,56 @@ def _lexicon(established: frozenset[str] = frozenset()) -> Lexicon:
     return Lexicon(established)
 
 
+class Phrases:
+    """Phrase patterns, of which only those run on a line that could match it.
+
+    A pattern's longest text outside its groups is looked for by an Aho-Corasick automaton over all patterns;
+    patterns without such a text run on every line.
+    """
+
+    def __init__(self, blocks: tuple[tuple[str, str], ...]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        always: dict[str, list[str]] = {}
+        by_text: dict[str, list[tuple[str, regex.Pattern]]] = {}
+        for kind, block in blocks:
+            for phrase in block.strip().splitlines():
+                entry = (kind, regex.compile(rf"(?<!\S)(?:{phrase.strip()})"))
+                texts = [t.strip() for t in regex.split(r"\{[^}]*\}|\\.|.\?|[.+*|]", _outside_groups(phrase.strip()))]
+                text = max(texts, key=len)
+                if len(text) >= 3:
+                    by_text.setdefault(text, []).append(entry)
+                else:
+                    always.setdefault(kind, []).append(entry[1].pattern)
+        self.always = [(kind, regex.compile("|".join(patterns))) for kind, patterns in always.items()]
+        for text, entries in by_text.items():
+            self.automaton.add_word(text, entries)
+        self.automaton.make_automaton()
+
+    def kinds(self, line: str) -> set[str]:
+        """Kinds of the phrases that the line holds."""
+        found = {kind for kind, pattern in self.always if pattern.search(line)}
+        for _, entries in self.automaton.iter(line):
+            found.update(kind for kind, pattern in entries if kind not in found and pattern.search(line))
+        return found
+
+
+def _outside_groups(pattern: str) -> str:
+    """The pattern with every group (and a mark after it) replaced by a bar."""
+    out, depth = "", 0
+    for k, c in enumerate(pattern):
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            out += "|" if not depth else ""
+        elif not depth and not (c in "?*+" and pattern[k - 1] == ")"):
+            out += c
+    return out
+
+
 @lru_cache(maxsize=1)
-def _phrases() -> tuple[tuple[str, regex.Pattern], ...]:
-    kinds = ((INSULT, L.INSULTING), (THREAT, L.THREATENING), (HATE, L.DEMEANING), (SEXUAL, L.EXPLICIT))
-    return tuple((kind, regex.compile("|".join(rf"(?<!\S)(?:{p.strip()})" for p in block.strip().splitlines()))) for kind, block in kinds)
+def _phrases() -> Phrases:
+    return Phrases(((INSULT, L.INSULTING), (THREAT, L.THREATENING), (HATE, L.DEMEANING), (SEXUAL, L.EXPLICIT)))
 
 
 def fold(text: str) -> str:
@@ -186,7 +234,7 @@ def _listed(word: str, parts: dict[str, frozenset[str]]) -> list[str] | None:
     return reach[0]
 
 
-def _together(m: regex.Match) -> str:
+def _together(m: re.Match) -> str:
     """Letters set apart, put together, and cut into the listed words that they make up."""
     word = regex.sub(r"[\W_]", "", m.group())
     cut = _listed(word, _lexicon().parts)
@@ -194,28 +242,33 @@ def _together(m: regex.Match) -> str:
 
 
 def sentences(text: str) -> Iterator[list[str]]:
-    folded = SPACED_END.sub(" ", fold(text).replace("’", "'").replace("'", ""))
-    for s in ENDS.split(APART.sub(_together, folded)):
-        tokens = [t.strip("!+") for t in TOKENS.findall(s)]
-        if tokens := [t for t in tokens if t]:
+    """The folded words of each sentence or line."""
+    for s in ENDS.split(APART.sub(_together, plain(text))):
+        if tokens := TOKENS(s):
             yield tokens
 
 
+def plain(text: str) -> str:
+    """Folded text without apostrophes."""
+    return SPACED_END.sub(" ", fold(text).replace("’", "'").replace("'", "").replace("_", " "))
+
+
 def score_sentence(tokens: list[str], lex: Lexicon | None = None) -> dict[str, float]:
     """Scores from 0 to 1 by kind."""
     lex = lex or _lexicon()
-    words = [lex.correct(t) for t in tokens]
-    parts = [lex.parts.get(w, ()) for w in words]
+    cached, look = lex.cache.get, lex.look
+    known = [cached(t) or look(t) for t in tokens]
+    words = [k[0] for k in known]
     line = " ".join(words)
     scores: dict[str, float] = {}
 
     def tell(kind: str, score: float) -> None:
         scores[kind] = max(scores.get(kind, 0.0), score)
 
-    for kind, pattern in _phrases():
-        if pattern.search(line):
-            tell(kind, 0.9)
-    kinds = set().union(*parts) if parts else set()
+    for kind in _phrases().kinds(line):
+        tell(kind, 0.9)
+    parts = [k[1] for k in known]
+    kinds = set().union(*parts)
     masked = MASKED in words
     if kinds & {"insult", "sexual", "dehuman"} or masked:
         for i, p in enumerate(parts):
@@ -276,7 +329,7 @@ def established_words(df: DataFrame, text: str, share: float = 0.001, least: int
             words: list[str] = []
             hashes: list[int] = []
             for t, h in zip(_texts(batch, "t"), batch.column("h").to_pylist(), strict=True):
-                found = {w for tokens in sentences(t) for w in tokens if w.isalpha() and lex.correct(w) != w}
+                found = {w for w in set(TOKENS(plain(t))) if w.isalpha() and lex.correct(w) != w}
                 words += ["", *found]
                 hashes += [h] * (len(found) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hashes, pa.int64())], names=["w", "h"])
