@@ -109,7 +109,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence
     one double ``p<percent>`` each.
     """
     by, percents = list(by), sorted(set(percents))
-    rows = with_ordered_int(df.where(_grouped(by)), value, by, "code")
+    rows = materialize(with_ordered_int(df.where(_grouped(by)), value, by, "code"), "codes")
     targets, followed = None, rows
     for level in range(64 // DIGIT_BITS):
         shift = 64 - DIGIT_BITS * (level + 1)
