@@ -43,7 +43,7 @@ HARMLESS = """batch batches clock clocks clocked slot slots slut's where whose w
     chute chaque quatre motte note suite site vite acte folder follower follow pusher fussy busy pushy passy porn's port ports born
     corn horn worn horns hornet corny honey come sum cup cut cue cure core curve custom dial dills fool's food foot pool tool tools
     cool stool fold cold told coward's toward forward freak's break wreck fresh friar loose looser user poser lower later laser
-    cretan certain retarded retry retries record regard reward postal pastel bistro master faster postard custard""".replace("'s", "")
+    certain retarded retry retries record regard reward postal pastel bistro master faster postard custard""".replace("'s", "")
 
 # Phrases over folded, corrected words; each stands for an insult or a threat on its own.
 INSULTING = r"""
