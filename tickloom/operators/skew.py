@@ -31,11 +31,11 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows of non-null key numbered exactly within their key by ``order``; equal (key, order) rows count once.
+def placed(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows of non-null key, range-partitioned and sorted by (key, order), each of those once, written once.
 
-    Columns: ``k``, the order columns as ``o0``.., the payload as ``v0``.., ``part`` and ``pos`` (where the row
-    lies) and ``rn`` (1, 2, ... within the key). Of rows equal in key and order the smallest payload stays.
+    Columns: ``k``, the order columns as ``o0``.., the payload as ``v0``.., ``part`` and ``pos`` (the row's partition and its
+    position there). Of rows equal in key and order the smallest payload stays. A partition is read by one task, in order.
     """
     names = [f"o{i}" for i in range(len(order))]
     values = [f"v{i}" for i in range(len(payload))]
@@ -46,18 +46,22 @@ def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], part
     )
     ranged = rows.repartitionByRange(_partitions(df, partitions), "k", *names)
     once = ranged.groupBy("k", *names).agg(*(F.min(v).alias(v) for v in values)) if values else ranged.dropDuplicates()
-    placed = materialize(
-        once.sortWithinPartitions("k", *names).withColumn("mid", F.monotonically_increasing_id()), "chunks"
-    ).select("*", F.shiftright("mid", 33).cast("int").alias("part"), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).drop("mid")
-    counts = placed.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
+    ordered = once.sortWithinPartitions("k", *names).withColumn("mid", F.monotonically_increasing_id())
+    at = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")
+    return materialize(ordered, "chunks", whole_files=True).select("k", *names, *values, F.shiftright("mid", 33).cast("int").alias("part"), at)
+
+
+def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
+    """The rows of placed numbered exactly within their key by ``order``: ``rn`` is 1, 2, ..."""
+    rows = placed(df, key, order, payload, partitions)
+    counts = rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
     along = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(
         counts.select("k", "part", (F.coalesce(F.sum("n").over(along), F.lit(0)) - F.col("start") + 1).alias("shift")), "offsets"
     )
     small = offsets.count() <= MAX_BROADCAST_OFFSETS
-    return placed.join(F.broadcast(offsets) if small else offsets, ["k", "part"]).select(
-        "k", *names, *values, "part", "pos", (F.col("pos") + F.col("shift")).alias("rn")
-    )
+    joined = rows.join(F.broadcast(offsets) if small else offsets, ["k", "part"])
+    return joined.select(*rows.columns, (F.col("pos") + F.col("shift")).alias("rn"))
 
 
 def unusual_values(

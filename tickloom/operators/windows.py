@@ -9,9 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tickloom.operators.skew import MAX_BROADCAST_OFFSETS, numbered
-from tickloom.storage import materialize
+from tickloom.operators.skew import placed
 
 #: Fixed-point scale of ratio.
 RATIO_SCALE = 1_000_000
@@ -57,61 +57,94 @@ def ema(
 ) -> DataFrame:
     """Exponential moving average of each key: e0 = x0, then e = alpha * x + (1 - alpha) * e.
 
-    A stretch of n rows maps the average before it linearly to the one after it (a + b * e with b = (1 - alpha)**n),
-    so stretches are summarised where they lie, the summaries are chained, and all stretches are then
-    computed at once: no key is gathered in a task. Columns: key, the order columns, the value and ``ema``.
+    A stretch of n rows maps the average before it linearly to the one after it (a + b * e with b = (1 - alpha)**n).
+    Rows are range-partitioned and sorted by (key, order), so only the first and last key of a partition reach over its
+    edges: their stretches are summarised where they lie, the summaries are chained, and all partitions are then
+    computed at once. No key is gathered in a task. Columns: key, the order columns, the value and ``ema``.
     Rows with a null key or value don't take part; (key, order) must be unique.
     """
     a = ema_alpha(period, alpha)
-    seq = numbered(df.where(F.col(value).isNotNull()), key, order, [value], partitions)
-    names = [c for c in seq.columns if c.startswith("o")]
-    rows = materialize(seq.select("k", *names, F.col("v0").cast("double").alias("v0"), "part", "pos", "rn").sortWithinPartitions("part", "pos"), "ema-rows", whole_files=True)
-    # each partition's stretch of a key: length, its average from its own first value, and that first value
-    power = F.pow(F.lit(1 - a), F.col("n") - F.col("i"))
-    per = rows.groupBy("k", "part").agg(F.min("rn").alias("lo"), F.max("rn").alias("hi"))
-    sized = rows.join(F.broadcast(per) if per.count() <= MAX_BROADCAST_OFFSETS else per, ["k", "part"])
-    terms = sized.select("k", "part", "lo", "hi", "v0", (F.col("rn") - F.col("lo") + 1).alias("i"), (F.col("hi") - F.col("lo") + 1).alias("n"))
-    # in the first stretch of a key the first value counts with its full weight
-    weight = F.when((F.col("lo") == 1) & (F.col("i") == 1), F.pow(F.lit(1 - a), F.col("n") - 1)).otherwise(F.lit(a) * power)
-    sums = terms.groupBy("k", "part", "lo", "n").agg(F.sum(weight * F.col("v0")).alias("a"))
-    chained = sums.groupBy("k").applyInPandas(_chain(a), sums.select("k", "part", F.col("a").alias("carry")).schema)
-    carry = materialize(chained, "ema-carry")
-    small = carry.count() <= MAX_BROADCAST_OFFSETS
-    carried = rows.join(F.broadcast(carry) if small else carry, ["k", "part"], "left").select("k", *names, "v0", "part", "rn", "carry")
-    if not small:
-        carried = carried.repartition("part").sortWithinPartitions("part", "rn")
-    schema = rows.select("k", *names, "v0", F.lit(0.0).alias("ema")).schema
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[object, int, float] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = batch.column("k").to_numpy(zero_copy_only=False)
-            part, rn = batch.column("part").to_numpy(), batch.column("rn").to_numpy()
-            x = batch.column("v0").to_numpy()
-            held = batch.column("carry").to_numpy(zero_copy_only=False).astype(float)
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (part[1:] != part[:-1]) | (rn[1:] != rn[:-1] + 1)])
-            cut = np.append(np.flatnonzero(new), len(x))
-            out = np.empty(len(x))
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                goes_on = before is not None and before[0] == k[lo] and before[1] + 1 == rn[lo]
-                out[lo:hi] = _ema(x[lo:hi], a, before[2] if goes_on else held[lo])
-            before = (k[-1], rn[-1], out[-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["k", *names, "v0"]), pa.array(out)], names=["k", *names, "v0", "ema"])
-
-    done = carried.mapInArrow(average, schema)
+    rows = placed(df.where(F.col(value).isNotNull()), key, order, [value], partitions)
+    names = [c for c in rows.columns if c.startswith("o")]
+    rows = rows.select("k", *names, F.col("v0").cast("double").alias("v0"), "part")
+    k_type = rows.schema["k"]
+    ends = rows.select("k", "part", "v0").mapInArrow(
+        lambda batches: _edge_stretches(batches, a),
+        StructType([k_type, *(StructField(c, t) for c, t in (("part", IntegerType()), ("n", LongType()), ("a", DoubleType()), ("x0", DoubleType()), ("first", BooleanType())))]),
+    )
+    carry = ends.groupBy("k").applyInPandas(_chain(a), "part int, carry double")
+    # at most one row for each partition
+    joined = rows.join(F.broadcast(carry), "part", "left").select("k", *names, "v0", "part", "carry")
+    out = joined.select("k", *names, "v0", F.lit(0.0).alias("ema")).schema
+    done = joined.mapInArrow(lambda batches: _averages(batches, a, names), out)
     return done.select(F.col("k").alias(key), *(F.col(n).alias(c) for n, c in zip(names, order, strict=True)), F.col("v0").alias(value), "ema")
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal values."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _edge_stretches(batches: Iterator[pa.RecordBatch], a: float) -> Iterator[pa.RecordBatch]:
+    """The stretches of each partition's first and last key: rows, average from 0, first value, and whether it is the first."""
+    schema = pa.schema([("k", pa.null()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.float64()), ("x0", pa.float64()), ("first", pa.bool_())])
+    told: list[tuple] = []
+    now: list | None = None  # key, part, n, a, x0, first
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema = schema.set(0, batch.schema.field("k"))
+        k, part, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("v0").to_numpy()
+        cut = _runs(k, part)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if now is None or now[0] != k[lo] or now[1] != part[lo]:
+                same_part = now is not None and now[1] == part[lo]
+                if now is not None and (now[5] or not same_part):
+                    told.append(tuple(now))
+                now = [k[lo], int(part[lo]), 0, 0.0, float(x[lo]), not same_part]
+            now[2] += hi - lo
+            now[3] = float(_ema(x[lo:hi], a, now[3])[-1])
+    if now is not None:
+        told.append(tuple(now))
+        keys = pa.array([t[0] for t in told], schema.field("k").type)
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, f.type) for c, f in zip(list(zip(*told, strict=True))[1:], list(schema)[1:], strict=True))], schema=schema)
+
+
 def _chain(a: float):
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The average carried into each stretch of a key (NaN into the first)."""
-        pdf = pdf.sort_values("lo")
-        carry, state = [], np.nan
-        for n, s in zip(pdf["n"], pdf["a"], strict=True):
-            carry.append(state)
-            state = s if np.isnan(state) else s + (1 - a) ** n * state
-        return pd.DataFrame({"k": pdf["k"], "part": pdf["part"], "carry": carry})
+        """The average carried into each partition whose first key is this one and began before."""
+        pdf = pdf.sort_values("part")
+        parts, carry, state = [], [], None
+        for part, n, s, x0, first in zip(pdf["part"], pdf["n"], pdf["a"], pdf["x0"], pdf["first"], strict=True):
+            if state is not None and first:
+                parts.append(part)
+                carry.append(state)
+            # the very first value counts with its full weight
+            state = s + (1 - a) ** n * (x0 if state is None else state)
+        return pd.DataFrame({"part": np.array(parts, np.int32), "carry": np.array(carry, float)})
 
     return chain
+
+
+def _averages(batches: Iterator[pa.RecordBatch], a: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+    before: tuple[object, int, float] | None = None  # key, partition and average of the last row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, part, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("v0").to_numpy()
+        held = batch.column("carry").to_numpy(zero_copy_only=False).astype(float)
+        out = np.empty(len(x))
+        cut = _runs(k, part)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if before is not None and before[1] == part[lo]:
+                start = before[2] if before[0] == k[lo] else None
+            else:
+                start = held[lo]
+            out[lo:hi] = _ema(x[lo:hi], a, start)
+            before = (k[hi - 1], part[hi - 1], out[hi - 1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["k", *names, "v0"]), pa.array(out)], names=["k", *names, "v0", "ema"])

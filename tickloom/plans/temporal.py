@@ -74,9 +74,9 @@ def _(t):
     return W.ema(t, "user_id", ["ts", "event_id"], "value", period=20).select("event_id", F.round("ema", 4).alias("ema"))
 
 
-@query("win_ema_alpha", _ema_sql("CAST(0.3 AS DOUBLE)"), "events")
+@query("win_ema_alpha", _ema_sql("CAST(1 AS DOUBLE) / 3"), "events")
 def _(t):
-    return W.ema(t, "user_id", ["ts", "event_id"], "value", alpha=0.3).select("event_id", F.round("ema", 4).alias("ema"))
+    return W.ema(t, "user_id", ["ts", "event_id"], "value", alpha=1 / 3).select("event_id", F.round("ema", 4).alias("ema"))
 
 
 @query("join_inner", "SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%'", "lineitem", "orders")
