@@ -44,8 +44,12 @@ def assigned(df: DataFrame, vector: str, centroids: np.ndarray, probes: int = 1,
     return df.where(F.size(vector) > 0).withColumn(name, F.explode(udf(F.col(vector))))
 
 
-def nearest(df: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int, *, lists: int = 64, probes: int = 8) -> DataFrame:
-    """The k rows of greatest cosine for each query, from its ``probes`` closest lists: query_id, row_id, similarity, rank."""
+def nearest(df: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int, *, lists: int = 64, probes: int = 40) -> DataFrame:
+    """The k rows of greatest cosine for each query, from its ``probes`` closest lists: query_id, row_id, similarity, rank.
+
+    With the defaults the recall at 10 against all rows was 0.94 on vectors with little structure (500 and 2,000 rows
+    of 64 dimensions); vectors with clusters reach it with far fewer probes. Row ids are integers.
+    """
     centroids = fit_centroids(df, vector, lists)
     index = assigned(df.select(row_id, vector), vector, centroids)
     asked = assigned(queries.select(query_id, F.col(vector).alias("q_")), "q_", centroids, probes)

@@ -57,9 +57,12 @@ def binary_ticks(df: DataFrame, value: str) -> DataFrame:
 def fix_fields(message: Column, separator: str = "\x01") -> dict[str, Column]:
     """Columns of a FIX message by name; missing fields are NULL, numbers that don't parse too."""
     tags = F.transform(F.split(message, separator), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.split_part(p, F.lit("="), F.lit(2)).alias("v")))
-    # the last of a repeated tag counts
-    wanted = lambda tag: F.element_at(F.filter(tags, lambda p: p["k"] == str(tag)), -1)["v"]
-    text = {name: F.when(F.exists(tags, lambda p, tag=tag: p["k"] == str(tag)), wanted(tag)) for name, tag in FIX_TAGS.items()}
+
+    def last(tag: int) -> Column:
+        """The last field with the tag; NULL without one."""
+        return F.try_element_at(F.filter(tags, lambda p: p["k"] == str(tag)), F.lit(-1))["v"]
+
+    text = {name: last(tag) for name, tag in FIX_TAGS.items()}
     numbers = {"seq": "bigint", "quantity": "bigint", "last_quantity": "bigint", "bid_size": "bigint", "offer_size": "bigint", "price": "double", "last_price": "double", "bid": "double", "offer": "double"}
     return {name: (c.try_cast(numbers[name]) if name in numbers else c).alias(name) for name, c in text.items()}
 
