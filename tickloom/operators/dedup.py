@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A sequence identifier: a text (which may begin with a short number), a number of at most 18 digits, the rest.
-SEQUENCE = r"^([^0-9]*(?:[0-9]{1,6}[^0-9]+)?)([0-9]{1,18})((?:[^0-9][\s\S]*)?)$"
+SEQUENCE = r"^([^0-9\x01]*(?:[0-9]{1,6}[^0-9\x01]+)?)([0-9]{1,18})((?:[^0-9\x01][^\x01]*)?)$"
 #: Numbers of one block of a producer's number line: 2 to this power.
 BLOCK_BITS = 16
 
@@ -103,19 +103,22 @@ def message_rows(df: DataFrame, row_id: str, producer: str, event_id: str, seque
     keyed = rows.where(known & F.col("eid").isNotNull()).select("row", "node", "eid", "seq").unionByName(resolved)
     alone = rows.where(~(known & (F.col("eid").isNotNull() | F.col("seq").isNotNull())))
 
-    text, digits, rest = (F.regexp_extract("eid", SEQUENCE, i) for i in (1, 2, 3))
-    by_seq = F.col("eid").isNull()
-    series = F.when(by_seq, F.lit("#")).when(digits != "", F.concat(F.lit("="), text, F.lit("\x01"), F.length(digits).cast("string"), F.lit("\x01"), rest))
-    number = F.when(by_seq, F.col("seq")).when(digits != "", digits.cast("bigint"))
-    told = keyed.select("row", "node", "eid", series.alias("series"), number.alias("number"))
-    told = told.select("*", F.shiftright("number", BLOCK_BITS).alias("block"), F.lit(False).alias("dup"))
+    # one test and one match of the pattern a row; what follows works on their results
+    sequence = keyed.where(F.col("eid").isNull() | F.col("eid").rlike(SEQUENCE))
+    parts = sequence.select("row", "node", "eid", "seq", F.regexp_replace("eid", SEQUENCE, "$1\x01$3\x01$2").alias("m"))
+    by_seq, digits = F.col("eid").isNull(), F.substring_index("m", "\x01", -1)
+    around = F.substring_index("m", "\x01", 2)
+    numbers = parts.select("row", "node", by_seq.alias("by_seq"), "seq", digits.alias("digits"), around.alias("around"))
+    series = F.when(F.col("by_seq"), F.lit("#")).otherwise(F.concat(F.lit("="), "around", F.lit("\x01"), F.length("digits").cast("string")))
+    number = F.when(F.col("by_seq"), F.col("seq")).otherwise(F.col("digits").cast("bigint"))
+    ranged = numbers.select("row", "node", series.alias("series"), number.alias("number"))
+    ranged = ranged.select("*", F.shiftright("number", BLOCK_BITS).alias("block"), F.lit(False).alias("dup"))
 
-    ranged = told.where(F.col("series").isNotNull()).select("row", "node", "series", "number", "block", "dup")
     once = ranged.mapInArrow(_accept, ranged.schema)  # in the input tasks: most copies end here
     spread = F.when(F.col("dup"), F.xxhash64("row")).otherwise(F.xxhash64("node", "series", "block"))
     settled = once.repartition(spread).sortWithinPartitions("row").mapInArrow(_accept, ranged.schema)
 
-    odd = told.where(F.col("series").isNull()).select("row", "node", "eid")
+    odd = keyed.where(F.col("eid").isNotNull() & ~F.col("eid").rlike(SEQUENCE)).select("row", "node", "eid")
     least = odd.groupBy("node", "eid").agg(F.min("row").alias("least"))
     looked_up = odd.join(least, ["node", "eid"]).select("row", (F.col("row") > F.col("least")).alias("dup"))
     return (
