@@ -90,26 +90,16 @@ def unusual_values(
         F.col(key), micros(F.col(ts)).alias("us_"), F.col(row_id).alias("id_"), F.col(value).cast("bigint").alias("value_")
     )
     seq = numbered(rows, key, ["us_", "id_"], ["value_"], partitions).select("k", "rn", F.col("o1").alias("id"), F.col("v0").alias("v"))
-    out = T.StructType([*seq.schema.fields, T.StructField("s", T.LongType()), T.StructField("kind", T.ByteType())])
+    extra = (("s", T.LongType()), ("kind", T.ByteType()), ("block", T.LongType()))
+    out = T.StructType([*seq.schema.fields, *(T.StructField(c, t) for c, t in extra)])
     told = seq.mapInArrow(lambda batches: _stretches(batches, before, factor, chunk_rows), out)
-    hits = told.where(F.col("kind") == HIT).select("k", "rn", "id", "v", "s")
-    edge = told.where(F.col("kind") != HIT).select(
-        "k", "rn", "id", "v", "kind", F.floor((F.col("rn") - 1) / chunk_rows).alias("block")
-    )
-    # the last rows of a chunk also serve the chunk that starts after them
-    ahead = edge.where((F.col("rn") - 1) % chunk_rows >= chunk_rows - before).select(
-        "k", "rn", "id", "v", F.lit(TAIL).cast("tinyint").alias("kind"), (F.col("block") + 1).alias("block")
-    )
     back = Window.partitionBy("k", "block").orderBy("rn").rangeBetween(-before, -1)
-    merged = (
-        edge.unionByName(ahead)
-        .select("*", F.sum("v").over(back).alias("s"), F.count(F.lit(1)).over(back).alias("c"))
-        .where((F.col("kind") == HEAD) & (F.col("c") == before) & (F.col("v") * before >= factor * F.col("s")))
-        .select("k", "rn", "id", "v", "s")
-    )
-    return hits.unionByName(merged).select(
-        F.col("k").alias(key), F.col("id").alias(row_id), "rn", F.col("v").alias("value"), F.col("s").alias("sum_before")
-    )
+    edge = F.when(F.col("kind") != HIT, F.col("v"))
+    merged = told.select("k", "rn", "id", "v", "kind", "s", F.sum(edge).over(back).alias("before"), F.count(edge).over(back).alias("c"))
+    over = (F.col("c") == before) & (F.col("v") * before >= factor * F.col("before"))
+    hits = merged.where((F.col("kind") == HIT) | ((F.col("kind") == HEAD) & over))
+    total = F.when(F.col("kind") == HIT, F.col("s")).otherwise(F.col("before"))
+    return hits.select(F.col("k").alias(key), F.col("id").alias(row_id), "rn", F.col("v").alias("value"), total.alias("sum_before"))
 
 
 #: What a row told by a stretch is: a settled hit, one of its first rows, or one of its last rows.
@@ -117,9 +107,10 @@ HIT, HEAD, TAIL = 0, 1, 2
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], before: int, factor: float, chunk_rows: int) -> Iterator[pa.RecordBatch]:
-    """Hits that a stretch settles by itself, and its first and last ``before`` rows.
+    """Hits that a stretch settles by itself, and its first and last ``before`` rows, with the chunk they belong to.
 
-    A stretch is a run of rows in one batch with one key, one chunk and consecutive numbers.
+    A stretch is a run of rows in one batch with one key, one chunk and consecutive numbers. The last rows of a
+    chunk are told once more for the chunk that starts after them.
     """
     for batch in batches:
         n = batch.num_rows
@@ -140,11 +131,13 @@ def _stretches(batches: Iterator[pa.RecordBatch], before: int, factor: float, ch
         hit = np.zeros(n, bool)
         hit[inner] = v[inner] * before >= factor * s[inner]
         head, tail = since < before, left < before
-        for rows, kind in ((hit, HIT), (head, HEAD), (tail & ~head, TAIL)):
+        block = (rn - 1) // chunk_rows
+        ahead = (head | tail) & ((rn - 1) % chunk_rows >= chunk_rows - before)
+        for rows, kind, later in ((hit, HIT, 0), (head, HEAD, 0), (tail & ~head, TAIL, 0), (ahead, TAIL, 1)):
             take = np.flatnonzero(rows)
             if len(take):
                 told = batch.take(pa.array(take))
                 yield pa.RecordBatch.from_arrays(
-                    [*told.columns, pa.array(s[take]), pa.array(np.full(len(take), kind, np.int8))],
-                    names=["k", "rn", "id", "v", "s", "kind"],
+                    [*told.columns, pa.array(s[take]), pa.array(np.full(len(take), kind, np.int8)), pa.array(block[take] + later)],
+                    names=["k", "rn", "id", "v", "s", "kind", "block"],
                 )
