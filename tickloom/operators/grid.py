@@ -85,7 +85,7 @@ def regular_grid(
         .where("lo <= hi")
     )
     grid = filled.unionByName(crossing).select("*", F.explode(F.sequence("lo", "hi")).alias("period"))
-    is_reading = (F.col("period") == F.col("first_p")) & (F.col("n") > 0)
+    is_reading = F.col("period") == F.col("first_p")  # NULL in what is carried over a boundary
     within = F.col("period").between(F.col("first_p"), F.col("last_p"))
     return grid.select(
         F.col("k").alias(key),
