@@ -90,6 +90,20 @@ def test_expiry_and_tiers(spark, tmp_path):
     assert {k: v.count() for k, v in tiers.items()} == {"hot": 1, "warm": 2, "cold": 2}
 
 
+def test_storage_policy(spark, tmp_path):
+    from tickloom.sql import Engine
+
+    e = Engine(spark, f"file://{tmp_path}/p")
+    e.sql("CREATE TABLE t (x INT64, timestamp TIMESTAMP_NS) WITH (placement = hash_by_table)")
+    hour = 3600 * 10**9
+    e.catalog.insert("t", [{"x": i, "timestamp": i * hour} for i in range(10)])
+    e.sql("ALTER TABLE t SET STORAGE POLICY HOT 1 HOURS WARM 2 HOURS COLD 4 HOURS DROP 6 HOURS")
+    tiers = e.catalog.apply_policy("t", "timestamp", 9 * hour)
+    assert {k: v.count() for k, v in tiers.items()} == {"hot": 2, "warm": 2, "cold": 3}
+    with pytest.raises(ValueError, match="order"):
+        e.catalog.set_policy("t", 5, 4)
+
+
 @pytest.fixture
 def feed(spark, tmp_path):
     base = dt.datetime(2024, 3, 4)

@@ -218,6 +218,21 @@ class Catalog:
         hour = 3600 * 10**9
         return self.delete(name, f"{ts_ns} < {(now_ns - ttl_ns) // hour * hour}")
 
+    def set_policy(self, name: str, warm_ns: int | None = None, cold_ns: int | None = None, drop_ns: int | None = None) -> None:
+        """Ages from which rows are warm, cold and dropped; None for never."""
+        ages = [a for a in (warm_ns, cold_ns, drop_ns) if a is not None]
+        if ages != sorted(ages):
+            raise ValueError("warm, cold and drop must come in this order")
+        self._save(name, {**self._load(name), "policy": {"warm": warm_ns, "cold": cold_ns, "drop": drop_ns}})
+
+    def apply_policy(self, name: str, ts_ns: str, now_ns: int) -> dict[str, DataFrame]:
+        """Drops what is due and gives the rest by tier."""
+        policy = self._load(name).get("policy", {})
+        if policy.get("drop") is not None:
+            self.expire(name, ts_ns, policy["drop"], now_ns)
+        never = 2**62
+        return self.tiers(name, ts_ns, now_ns, policy.get("warm") or policy.get("cold") or never, policy.get("cold") or never)
+
     def tiers(self, name: str, ts_ns: str, now_ns: int, warm_ns: int, cold_ns: int) -> dict[str, DataFrame]:
         """The table's rows by age: hot, warm and cold."""
         rows = self.table(name)
