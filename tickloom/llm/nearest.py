@@ -147,8 +147,8 @@ def nearest_in_time(
 
     Of two equally near the earlier is taken, of several at one instant the one with the smallest id. Rows with a null
     entity, time or id don't take part; left records without a partner have no row; repeated left rows
-    (same id, entity and time) give one row. Entity and ids are integers. Columns: left_id, right_id and
-    ``gap_us`` (right time minus left time). Empty tables give no rows; other columns are ignored.
+    (same id, entity and time) give one row. Entity and ids are integers. Columns: left_id, right_id (with
+    ``_right`` if both have one name) and ``gap_us`` (right time minus left time). Empty tables give no rows; other columns are ignored.
 
     Right rows are first reduced to one per instant (combined before the shuffle) and left rows to their distinct instants,
     so a subtree of 2**bits microseconds has at most that many leaves, however many rows it stands for.
@@ -175,6 +175,7 @@ def nearest_in_time(
     schema = pa.schema([(c, pa.int64()) for c in names])
     near = rows.mapInArrow(lambda it: _subtrees(it, bits, tolerance_us, schema), ", ".join(f"{c} bigint" for c in names))
     best = near.groupBy("entity", "us").agg(F.min(F.struct("gap", "right_us", "right_id")).alias("m"))
+    other = right_id if right_id != left_id else f"{right_id}_right"
     return mine.join(best, ["entity", "us"]).select(
-        F.col("id").alias(left_id), F.col("m.right_id").alias(right_id), (F.col("m.right_us") - F.col("us")).alias("gap_us")
+        F.col("id").alias(left_id), F.col("m.right_id").alias(other), (F.col("m.right_us") - F.col("us")).alias("gap_us")
     )
