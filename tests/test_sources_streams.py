@@ -144,3 +144,26 @@ def test_batches_replace_themselves(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 7
     acks = spark.createDataFrame([(1,), (1,), (None,)], "id bigint")
     assert sorted(r[0] for r in S.unacknowledged(spark.range(4), acks, "id").collect()) == [0, 2, 3]
+
+
+def test_late_records_on_a_stream_equal_the_batch(spark, tmp_path):
+    import random
+
+    from tickloom.operators import late
+    from tickloom.streaming.late import corrected_counts
+
+    rng, s = random.Random(4), 10**9
+    base = 1_709_510_400 * s
+    rows = []
+    for i in range(900):
+        e = base + rng.randrange(7200) * s
+        rows.append((i, i % 2, e, e + rng.choice([rng.randrange(5), rng.randrange(1500), rng.randrange(4000)]) * s))
+    rows.sort(key=lambda r: r[3])
+    schema = "id bigint, k bigint, e bigint, a bigint"
+    for n in range(5):
+        spark.createDataFrame(rows[n * 180 : (n + 1) * 180], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/feed")
+    out = S.run_available(corrected_counts(stream, "k", "e", "a", every=8))
+    got = {r["period_start_s"]: r["n"] for r in out.groupBy("k", "period_start_s").agg(F.max("n").alias("n")).groupBy("period_start_s").agg(F.sum("n").alias("n")).collect()}
+    batch = late.corrected_counts(spark.createDataFrame(rows, schema), "id", "e", "a").groupBy("period_start_s").agg(F.max("n").alias("n"))
+    assert got == {r["period_start_s"]: r["n"] for r in batch.collect()}

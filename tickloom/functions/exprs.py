@@ -44,6 +44,12 @@ def int_div(a: Column | str, b: Column | str) -> Column:
     return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(whole)
 
 
+def floor_div(a: Column | str, n: int) -> Column:
+    """Integer quotient rounded down, exact for every bigint (a quotient of doubles isn't)."""
+    a = _q(a).cast("bigint")
+    return F.call_function("div", a - F.pmod(a, F.lit(n).cast("bigint")), F.lit(n).cast("bigint"))
+
+
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """Division in doubles; 0 where the divisor is 0."""
     a, b = _q(a), _q(b)

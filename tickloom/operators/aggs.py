@@ -43,7 +43,7 @@ def percentile_lower(df: DataFrame, by: list[str], value: str, percents: list[in
     ranked = counts.select(*by, value, F.sum("c_").over(all_.orderBy(value)).alias("upto_"), F.sum("c_").over(all_).alias("n_"))
     picks = []
     for p in percents:
-        rank = F.floor(F.lit(p) * (F.col("n_") - 1) / 100)
+        rank = F.call_function("div", F.lit(p) * (F.col("n_") - 1), F.lit(100).cast("bigint"))
         picks.append(F.min(F.when(F.col("upto_") > rank, F.col(value))).alias(f"p{p}"))
     return ranked.groupBy(*by).agg(F.max("n_").alias("n"), *picks)
 

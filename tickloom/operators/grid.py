@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.exprs import floor_div
 from tickloom.functions.time import micros
 
 READING, GAP, CARRIED = "reading", "gap", "carried"
@@ -45,12 +46,12 @@ def regular_grid(
     ok = F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()
     order = [us] + ([F.col(tie)] if tie else []) + [F.col(value)]
     readings = df.where(ok if valid is None else ok & valid).select(
-        F.col(key).alias("k"), F.floor(us / F.lit(1_000_000 * period_s)).alias("p"), F.struct(*order).alias("o"), F.col(value).alias("v")
+        F.col(key).alias("k"), floor_div(us, 1_000_000 * period_s).alias("p"), F.struct(*order).alias("o"), F.col(value).alias("v")
     )
     periods = (
         readings.groupBy("k", "p")
         .agg(F.max_by("v", "o").alias("v"), F.count(F.lit(1)).alias("n"))
-        .withColumn("shard", F.floor(F.col("p") / per_shard))
+        .withColumn("shard", floor_div("p", per_shard))
     )
     inside = Window.partitionBy("k", "shard").orderBy("p")
     shards = periods.select(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.exprs import floor_div
+
 
 
 def asof_join(
@@ -46,12 +48,12 @@ def asof_join(
     rhs = right.where(usable & F.col(right_ts).isNotNull()).select(
         *key, F.col(right_ts).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(lhs.schema["l"].dataType).alias("l"), load.alias("r")
     )
-    rows = lhs.where(F.col("t").isNotNull()).unionByName(rhs).withColumn("b", F.floor(F.col("t") / F.lit(bucket)))
+    rows = lhs.where(F.col("t").isNotNull()).unionByName(rhs).withColumn("b", floor_div("t", bucket))
     inside = Window.partitionBy(*keys, "b").orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", F.last("r", True).over(inside).alias("m")).where("side = 1")
-    ends = rhs.withColumn("b", F.floor(F.col("t") / F.lit(bucket))).groupBy(*keys, "b").agg(F.max("r").alias("end"))
+    ends = rhs.withColumn("b", floor_div("t", bucket)).groupBy(*keys, "b").agg(F.max("r").alias("end"))
     # the buckets in which left rows lie, with the last right row of any bucket before
-    need = lhs.where(F.col("t").isNotNull()).select(*keys, F.floor(F.col("t") / F.lit(bucket)).alias("b"), F.lit(1).alias("side")).distinct()
+    need = lhs.where(F.col("t").isNotNull()).select(*keys, floor_div("t", bucket).alias("b"), F.lit(1).alias("side")).distinct()
     marks = need.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)).unionByName(ends.withColumn("side", F.lit(0)))
     before = Window.partitionBy(*keys).orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
     carry = marks.select(*keys, "b", "side", F.max("end").over(before).alias("carry")).where("side = 1").drop("side")
@@ -100,10 +102,10 @@ def window_join(
         usable = usable & F.col(c).isNotNull()
     values = [F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]
     body = F.struct(*[F.col(c).alias(c) for c in left.columns])
-    lhs = left.select(*key, F.col(left_ts).cast("bigint").alias("t"), body.alias("l")).select("*", F.floor(F.col("t") / width).alias("b"))
+    lhs = left.select(*key, F.col(left_ts).cast("bigint").alias("t"), body.alias("l")).select("*", floor_div("t", width).alias("b"))
     rhs = right.where(usable).select(*key, F.col(right_ts).cast("bigint").alias("t"), *values).select(
         *keys, "t", *[f"v{i}" for i in range(len(columns))],
-        F.explode(F.sequence(F.floor((F.col("t") - after) / width), F.floor((F.col("t") + before) / width))).alias("b"),
+        F.explode(F.sequence(floor_div(F.col("t") - after, width), floor_div(F.col("t") + before, width))).alias("b"),
     )
     rows = lhs.withColumn("side", F.lit(1)).unionByName(rhs.withColumn("side", F.lit(0)), allowMissingColumns=True)
     frame = Window.partitionBy(*keys, "b").orderBy("t").rangeBetween(-before, after)

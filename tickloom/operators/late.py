@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.exprs import floor_div
+
 ON_TIME, CORRECTED, TOO_LATE = "on_time", "corrected", "too_late"
 
 
@@ -83,7 +85,7 @@ def _replay_part(pdf: pd.DataFrame, period_ns: int, lateness_ns: int, publish_ns
 def _parts(df: DataFrame, event_ns: str, arrival_ns: str, event_id: str, shard_ns: int, part_rows: int) -> DataFrame:
     rows = df.where(F.col(event_ns).isNotNull() & F.col(arrival_ns).isNotNull()).select(
         F.col(event_id).cast("string").alias("id"), F.col(event_ns).alias("event"), F.col(arrival_ns).alias("arrival")
-    ).withColumn("shard", F.floor(F.col("event") / F.lit(shard_ns)))
+    ).withColumn("shard", floor_div("event", shard_ns))
     sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("salts"))
     return rows.join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
 
