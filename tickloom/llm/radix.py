@@ -86,7 +86,7 @@ def percentiles_of(summary: DataFrame, by: Sequence[str], percents: Sequence[int
     seen = summary.select(*by, "digit", "n", F.sum("n").over(along).alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
     out = []
     for p in percents:
-        rank = F.floor(F.col("total") * 0 + F.lit(p) * (F.col("total") - 1) / 100)
+        rank = F.call_function("div", F.lit(p) * (F.col("total") - 1), F.lit(100).cast("bigint"))
         digit = F.min(F.when(F.col("upto") > rank, F.col("digit")))
         # a digit of negative values holds those down to its lower end as well
         out += [value_of(F.shiftleft(digit, 64 - bits)).alias(f"p{p}_lo"), value_of(F.shiftleft(digit + 1, 64 - bits) - 1).alias(f"p{p}_hi")]
@@ -120,7 +120,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence
             along = Window.partitionBy(*by).orderBy("digit")
             counts = counts.select(*by, "digit", "n", F.sum("n").over(along).alias("upto"), total.alias("total"))
             wanted = counts.select(
-                "*", F.explode(F.array(*(F.struct(F.lit(p).alias("target"), F.floor(F.lit(p) * (F.col("total") - 1) / 100).alias("rank")) for p in percents))).alias("t")
+                "*", F.explode(F.array(*(F.struct(F.lit(p).alias("target"), F.call_function("div", F.lit(p) * (F.col("total") - 1), F.lit(100).cast("bigint")).alias("rank")) for p in percents))).alias("t")
             ).select(*by, "digit", "n", "upto", "total", "t.target", "t.rank")
         else:
             counts = followed.groupBy(*by, "prefix", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
