@@ -76,3 +76,13 @@ def test_agreement_with_reviewers(spark):
     scored = abuse.scores(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").join(labels, "doc_id").collect()
     agree = sum((r["score"] >= abuse.THRESHOLD) == (r["y"] > 0.5) for r in scored)
     assert agree >= 0.93 * len(scored)
+
+
+@pytest.mark.parametrize("text", ["the query took 47 seconds ***", "password: ******", "*** done ***", "fatal arts star form"])
+def test_signs_are_no_masked_words(text):
+    assert max(abuse.score_text(text).values()) < abuse.THRESHOLD
+
+
+def test_garbled_encoding_and_swapped_letters():
+    assert abuse.score_text("Ich weiß, wo dein Auto steht".encode().decode("cp1252"))["threat"] >= abuse.THRESHOLD
+    assert abuse.score_text("touch it again and i iwll break every finger you have")["threat"] >= abuse.THRESHOLD

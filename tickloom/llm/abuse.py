@@ -31,7 +31,7 @@ WINDOW = 6
 CACHED_WORDS = 200_000
 LONGEST_WORD = 24
 #: Stands for a word whose letters are masked and that no listed word fits.
-MASKED = "***"
+MASKED = "\0"
 #: Letters from which a listed word is recognised with one, and with two errors.
 FUZZY, LONG = 5, 9
 
@@ -140,14 +140,23 @@ class Lexicon:
             return found or (MASKED if masked >= 3 and token[0].isalpha() else token)
         squeezed = regex.sub(r"(.)\1{2,}", r"\1", token)
         if squeezed != token:
-            for w in (squeezed, regex.sub(r"(.)\1{2,}", r"\1\1", token), squeezed.rstrip("s") + "s"):
+            for w in (regex.sub(r"(.)\1{2,}", r"\1\1", token), squeezed, squeezed.rstrip("s") + "s"):
                 if w in self.parts:
                     return w
-        if len(squeezed) < 4 or token in self.established:
+        if token in self.established or len(squeezed) < 3:
+            return token
+        if len(squeezed) < FUZZY:
+            # too short for other errors: two letters swapped
+            for i in range(len(squeezed) - 1):
+                w = squeezed[:i] + squeezed[i + 1] + squeezed[i] + squeezed[i + 2 :]
+                if w in self.parts:
+                    return w
+        if len(squeezed) < FUZZY - 1:
             return token
         return self.nearest(list(squeezed), 1 if len(squeezed) < LONG - 2 else 2) or token
 
 
+GARBLED = re.compile("[\u00c2\u00c3][\u0080-\u00bf\u0152-\u2122]|\u00e2\u20ac|\u00ec[\u0080-\u00bf]")
 HIDDEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠎︀-️]|\p{Mn}")
 FOLD = str.maketrans(L.LOOKALIKES)
 APART = re.compile(r"(?<![\w.])\w(?:([.\-_· ])\w)(?:\1\w)+(?![\w])")
@@ -213,10 +222,23 @@ def _phrases() -> Phrases:
     return Phrases(((INSULT, L.INSULTING), (THREAT, L.THREATENING), (HATE, L.DEMEANING), (SEXUAL, L.EXPLICIT)))
 
 
+def _repaired(line: str) -> str:
+    """A line that was read in a one-byte encoding though written in UTF-8, as it was written."""
+    if GARBLED.search(line):
+        for encoding in ("cp1252", "latin-1"):
+            try:
+                return line.encode(encoding).decode("utf-8")
+            except UnicodeError:
+                continue
+    return line
+
+
 def fold(text: str) -> str:
     """Lower case without accents, hidden characters and look-alike letters."""
     if text.isascii():
         return text.lower()
+    if GARBLED.search(text):
+        text = "\n".join(map(_repaired, text.split("\n")))
     text = unicodedata.normalize("NFKC", text).lower()
     hangul = regex.search(r"\p{Hangul}", text)
     plain = HIDDEN.sub("", unicodedata.normalize("NFD", text)).translate(FOLD)
