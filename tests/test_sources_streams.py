@@ -167,3 +167,30 @@ def test_late_records_on_a_stream_equal_the_batch(spark, tmp_path):
     got = {r["period_start_s"]: r["n"] for r in out.groupBy("k", "period_start_s").agg(F.max("n").alias("n")).groupBy("period_start_s").agg(F.sum("n").alias("n")).collect()}
     batch = late.corrected_counts(spark.createDataFrame(rows, schema), "id", "e", "a").groupBy("period_start_s").agg(F.max("n").alias("n"))
     assert got == {r["period_start_s"]: r["n"] for r in batch.collect()}
+
+
+def test_arrow_round_trip(spark):
+    import pyarrow as pa
+
+    from tickloom.sources import arrow as A
+
+    table = pa.table({"symbol": [1, 2], "price": [1.25, None], "volume": [3, 4], "name": ["a", None]})
+    df = A.from_arrow(spark, table, price_scale=100)
+    assert A.to_arrow(df).to_pydict() == {"symbol": [1, 2], "price": [125, 0], "volume": [3, 4], "name": ["a", None]}
+    assert A.to_reader(df).read_all().num_rows == 2
+    assert A.to_duckdb(df, "t").execute("SELECT sum(price) FROM t").fetchall() == [(125,)]
+    assert A.infer_schema(table) == {"symbol": "INT64", "price": "FLOAT64", "volume": "INT64", "name": "STRING"}
+    assert A.from_arrow(spark, table.to_batches()[0]).count() == 2
+
+
+def test_micro_batches_from_python(spark, tmp_path):
+    from tickloom.sources.arrow import StreamingSession
+
+    session = StreamingSession(spark, "a bigint, b string", S.append_once(f"{tmp_path}/in"), batch_rows=4, on_error="skip")
+    done = session.ingest_iter((i, "x") for i in range(10))
+    assert (done.batches, done.rows, done.errors) == (3, 10, 0)
+    session.ingest_pandas(pd.DataFrame({"a": [1, 2], "b": ["u", "v"]}))
+    assert session.ingest_iter([("bad", 1)]).errors == 1
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 12
+    with pytest.raises(ValueError, match="on_error"):
+        StreamingSession(spark, "a bigint", print, on_error="ask")

@@ -10,7 +10,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,14 +167,17 @@ class Catalog:
         schema = T.StructType.fromJson(json.loads(meta["schema"]))
         parted = [c for c, a in meta["attributes"].items() if a == "PARTED"]
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        seen = F.count(F.lit(1)).alias("n")
-        from pyspark.sql import Observation
-
         counted = Observation()
-        writer = rows.observe(counted, seen).write.mode("append")
+        writer = rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append")
         (writer.partitionBy(*parted) if parted else writer).parquet(f"{self.root}/{name}/{meta['version']}")
+        self._save(name, {**meta, "appends": meta.get("appends", 0) + 1})
         return counted.get["n"]
 
+    def state(self, name: str) -> tuple[str, int]:
+        """Changes whenever the table's rows do."""
+        meta = self._load(name)
+        return meta["version"], meta.get("appends", 0)
+
     def update(self, name: str, values: dict[str, str], where: str | None = None) -> int:
         rows = self.table(name)
         n = rows.where(_condition(where)).count()
