@@ -111,6 +111,15 @@ def test_delta_and_ratio(spark):
     assert [(r["d"], r["r"]) for r in out] == [(10, 1_000_000), (-10, 0), (5, 0), (5, 2_000_000)]
 
 
+def test_window_functions_by_name(spark):
+    df = spark.createDataFrame([(1, 10), (2, 20), (3, 20)], "o int, x int")
+    w = Window.partitionBy(F.lit(1)).orderBy("o")
+    got = {n: [r[0] for r in df.select(W.window_function(n, "x", w)).collect()] for n in ("row_number", "sum", "lag", "lead", "delta", "count")}
+    assert got == {"row_number": [1, 2, 3], "sum": [10, 30, 50], "lag": [0, 10, 20], "lead": [20, 20, 0], "delta": [10, 10, 0], "count": [1, 2, 3]}
+    with pytest.raises(ValueError, match="unknown"):
+        W.window_function("nope", "x", w)
+
+
 def test_median_positions(spark):
     from tickloom.operators.aggs import percentile_lower, vwap
 

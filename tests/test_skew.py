@@ -46,6 +46,13 @@ def test_against_a_plain_loop(spark, chunk, partitions):
     assert got.count() == len(brute(rows))
 
 
+def test_offsets_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("tickloom.operators.skew.MAX_BROADCAST_OFFSETS", 0)
+    rows = make(random.Random(8), 1500)
+    got = unusual_values(spark.createDataFrame(rows, SCHEMA), "symbol", "ts", "id", "volume", chunk_rows=64, partitions=6)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
 def test_small_batches(spark):
     rows = make(random.Random(3), 1200)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")

@@ -46,6 +46,13 @@ def test_order_book(spark):
     assert [tuple(r) for r in D.parse_book(df, "value").collect()] == [("A", 77, 5, "B", 300, "ABC", 150.5), ("E", 78, 5, None, 100, None, None)]
 
 
+def test_exchange_trades(spark):
+    plain = json.dumps({"e": "trade", "s": "AB", "p": "1.25", "q": "3", "T": 5})
+    wrapped = json.dumps({"stream": "x", "data": {"e": "trade", "s": "CD", "p": "2", "q": "0.5", "T": 6}})
+    df = spark.createDataFrame([(plain,), (wrapped,), (json.dumps({"e": "depth", "s": "AB"}),), ("no",), (None,)], "value string")
+    assert [tuple(r) for r in D.exchange_trades(df, "value", price_scale=100, volume_scale=10).collect()] == [("AB", 125, 30, 5_000_000), ("CD", 200, 5, 6_000_000)]
+
+
 def test_line_metrics(spark):
     lines = ["cpu,host=a,symbol=AB value=1.5,volume=3i 1700", "cpu,host=a value=2 1701", "# comment", "", "cpu other=1 5"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")

@@ -61,6 +61,8 @@ def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], part
     )
     small = offsets.count() <= MAX_BROADCAST_OFFSETS
     joined = rows.join(F.broadcast(offsets) if small else offsets, ["k", "part"])
+    if not small:  # a shuffle join loses the order in which the rows lay
+        joined = joined.sortWithinPartitions("k", "part", "pos")
     return joined.select(*rows.columns, (F.col("pos") + F.col("shift")).alias("rn"))
 
 

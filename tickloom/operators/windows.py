@@ -35,6 +35,18 @@ def ratio(x: Column | str, w: WindowSpec) -> Column:
     )
 
 
+def window_function(name: str, x: Column | str | None, w: WindowSpec, n: int = 1) -> Column:
+    """A window function by name; ``n`` is the distance of lag and lead (which default to 0) and the buckets of ntile."""
+    made = {
+        "row_number": lambda: F.row_number().over(w), "rank": lambda: F.rank().over(w), "dense_rank": lambda: F.dense_rank().over(w), "ntile": lambda: F.ntile(n).over(w),
+        "sum": lambda: F.sum(x).over(w), "avg": lambda: F.avg(x).over(w), "min": lambda: F.min(x).over(w), "max": lambda: F.max(x).over(w), "count": lambda: F.count(x).over(w),
+        "lag": lambda: F.lag(x, n, 0).over(w), "lead": lambda: F.lead(x, n, 0).over(w), "delta": lambda: delta(x, w), "ratio": lambda: ratio(x, w),
+    }
+    if name.lower() not in made:
+        raise ValueError(f"unknown window function {name!r}")
+    return made[name.lower()]()
+
+
 def ema_alpha(period: int | None = None, alpha: float | None = None) -> float:
     """Smoothing factor: the given one, 2 / (period + 1), or 0.1."""
     a = alpha if alpha is not None else 2.0 / (period + 1) if period is not None else 0.1

@@ -116,6 +116,18 @@ def line_metrics(df: DataFrame, value: str, *, symbol_tag: str = "symbol", price
     return rows.where(F.col("price").isNotNull())
 
 
+def exchange_trades(df: DataFrame, value: str, *, price_scale: float = 1.0, volume_scale: float = 1.0) -> DataFrame:
+    """Trades of a crypto exchange's JSON stream (s, p, q, T in milliseconds, also wrapped in ``data``); others give no row."""
+    fields = "s string, p string, q string, T bigint, e string"
+    j = F.from_json(F.col(value).cast("string"), f"{fields}, data struct<s: string, p: string, q: string, T: bigint, e: string>")
+    at = lambda c: F.coalesce(j["data"][c], j[c])
+    rows = df.select(
+        at("s").alias("symbol"), F.round(at("p").try_cast("double") * price_scale).cast("bigint").alias("price"),
+        F.round(at("q").try_cast("double") * volume_scale).cast("bigint").alias("volume"), (at("T") * 1_000_000).alias("ts_ns"), at("e").alias("e_"),
+    )
+    return rows.where("e_ = 'trade' AND price IS NOT NULL").drop("e_")
+
+
 def kafka_stream(spark, servers: str, topic: str, **options: str) -> DataFrame:
     """The messages of a Kafka topic as a stream with a ``value`` column; offsets live in the query's checkpoint."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
