@@ -55,12 +55,11 @@ def regular_grid(
     )
     inside = Window.partitionBy("k", "shard").orderBy("p")
     shards = periods.select(
-        "k", "shard", "p", "v", "n",
-        F.lead("p").over(inside).alias("next_p"),
-    )
-    bounds = shards.groupBy("k", "shard").agg(
-        F.min("p").alias("first_p"), F.max("p").alias("last_p"), F.max_by("v", "p").alias("last_v")
+        "k", "shard", "p", "v", "n", F.lag("p").over(inside).alias("prior_p"), F.lead("p").over(inside).alias("next_p")
     )
+    # summaries come from the first and last row of each shard, so both sides read one exchange and the input once
+    ends = shards.where(F.col("prior_p").isNull() | F.col("next_p").isNull())
+    bounds = ends.groupBy("k", "shard").agg(F.min("p").alias("first_p"), F.max("p").alias("last_p"), F.max_by("v", "p").alias("last_v"))
     along = Window.partitionBy("k").orderBy("shard")
     carried = bounds.select(
         "k", "shard", "first_p", "last_p",
