@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 
 import ahocorasick
@@ -71,10 +72,9 @@ class Automaton:
 
 
 class Lexicon:
-    """Listed words with their parts, as a trie."""
+    """Listed words with their parts, as tries."""
 
-    def __init__(self, established: frozenset[str] = frozenset()) -> None:
-        self.established = established
+    def __init__(self) -> None:
         found: dict[str, set[str]] = {}
         for part, words in L.WORDS.items():
             for w in words.split():
@@ -85,13 +85,22 @@ class Lexicon:
             for w in regex.findall(r"[a-z]{2,}", regex.sub(r"\(\?[:!]|\\\w", " ", block)):
                 found.setdefault(w, set())
         self.parts = {w: frozenset(p) for w, p in found.items()}
-        self.trie: dict = {}
+        # one trie for each length: a word is looked for among those that differ in length by its errors at most
+        self.tries: dict[int, dict] = {}
         for w in self.parts:
-            node = self.trie
+            node = self.tries.setdefault(len(w), {})
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
         self.cache: dict[str, tuple[str, frozenset[str]]] = {}
+        self.established: frozenset[str] = frozenset()
+
+    def knowing(self, established: frozenset[str]) -> Lexicon:
+        """This lexicon, what it has looked up included, but for words that stand for themselves."""
+        other = copy(self)
+        other.established = established
+        other.cache = self.cache | {w: (w, frozenset()) for w in established}
+        return other
 
     def nearest(self, letters: list[str], errors: int) -> str | None:
         """The listed word at the least distance; a harmless one, then the first by alphabet, among equals.
@@ -100,7 +109,8 @@ class Lexicon:
         """
         automaton = Automaton(letters, errors)
         best: tuple[int, int, str] | None = None
-        stack = [(self.trie, automaton.start())]
+        start = automaton.start()
+        stack = [(self.tries[n], start) for n in range(len(letters) - errors, len(letters) + errors + 1) if n in self.tries]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
@@ -117,7 +127,7 @@ class Lexicon:
 
     def look(self, token: str) -> tuple[str, frozenset[str]]:
         """The listed word that the token is, or misspells, with its parts; else the token itself, without any."""
-        word = token if token in self.parts else self._correct(token)
+        word = token if token in self.parts or token in self.established else self._correct(token)
         if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
         self.cache[token] = hit = (word, self.parts.get(word, frozenset()))
@@ -143,7 +153,7 @@ class Lexicon:
             for w in (regex.sub(r"(.)\1{2,}", r"\1\1", token), squeezed, squeezed.rstrip("s") + "s"):
                 if w in self.parts:
                     return w
-        if token in self.established or len(squeezed) < 3:
+        if len(squeezed) < 3:
             return token
         if len(squeezed) < FUZZY:
             # too short for other errors: two letters swapped
@@ -167,7 +177,8 @@ TOKENS = re.compile(r"[\w@$€*]+(?:[!+]+[\w@$€*]+)*").findall
 
 @lru_cache(maxsize=2)
 def _lexicon(established: frozenset[str] = frozenset()) -> Lexicon:
-    return Lexicon(established)
+    """The worker's lexicon; the one with established words goes on from what the first pass looked up."""
+    return _lexicon().knowing(established) if established else Lexicon()
 
 
 class Phrases:
