@@ -23,6 +23,8 @@ from tickloom.llm.tokens import BYTE_BPE_50K, encode_batches
 from tickloom.storage import materialize
 
 BUCKETS, DIMENSIONS, KEY_BITS = 1 << 12, 3, 16
+#: Documents of a stretch of the curve, which one task packs; only its last containers stay partly empty.
+STRETCH_ROWS = 50_000
 
 
 def projections(seed: int = 7) -> np.ndarray:
@@ -134,7 +136,7 @@ def pack(
     consecutive. Equal texts under several ids are items of their own; empty input gives no rows.
     """
     items = materialize(sized(df, doc_id, text, path), "sizes")
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, -(-items.count() // STRETCH_ROWS))
     curve = items.repartitionByRange(n, "h", "doc").sortWithinPartitions("h", "doc")
     names = ["doc_tokens", "piece", "start", "n_tokens", "container"]
     out = T.StructType([items.schema["doc"], *(T.StructField(c, T.LongType()) for c in names)])
