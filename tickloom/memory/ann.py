@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inverted lists: candidates from the closest centroids, then exact ranking.
 
 Centroids are fitted on a bounded sample (``sample_rows``, documented parameter); every row is indexed. Lists of any
-length are scanned by as many tasks as they fill; the best k of a query are kept by partial aggregation.
+length are scanned by as many tasks as they fill; every task keeps a query's best k before the shuffle.
 """
 
 from __future__ import annotations
@@ -55,13 +55,9 @@ def nearest(df: DataFrame, queries: DataFrame, row_id: str, query_id: str, vecto
     asked = assigned(queries.select(query_id, F.col(vector).alias("q_")), "q_", centroids, probes)
     unit = F.pandas_udf(_cosines, "double")
     pairs = index.join(asked, "list_").select(query_id, row_id, unit(F.col(vector), F.col("q_")).alias("similarity"))
-    # the best k of each task first, so that only those are shuffled
+    # the limit on the rank lets every task keep its own best k before the shuffle
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), row_id)
-    part = pairs.groupBy(query_id, (F.xxhash64(row_id) % 16).alias("salt_")).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col(row_id)).alias("neg"))), False), 1, k).alias("top")
-    )
-    rows = part.select(query_id, F.explode("top").alias("t")).select(query_id, (-F.col("t.neg")).alias(row_id), F.col("t.similarity").alias("similarity"))
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:

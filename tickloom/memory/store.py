@@ -157,10 +157,15 @@ def evict(records: DataFrame, now_ns: int, per_tenant: int) -> DataFrame:
     Retention is the score without similarity; ties go to the newer, then the smaller id. Pinned records count
     towards the tenant's quota but never leave.
     """
-    rows = visible(records, now_ns)
-    by = Window.partitionBy("tenant_id").orderBy(F.desc(F.coalesce("pinned", F.lit(False))), F.desc("keep_"), F.desc_nulls_last("created_at_ns"), "memory_id")
-    ranked = rows.withColumn("keep_", score(F.lit(0.0), now_ns)).withColumn("rn_", F.row_number().over(by))
-    return ranked.where((F.col("rn_") <= per_tenant) | F.coalesce("pinned", F.lit(False))).drop("keep_", "rn_")
+    rows = visible(records, now_ns).withColumn("pin_", F.coalesce("pinned", F.lit(False)))
+    pinned, rest = rows.where("pin_").drop("pin_"), rows.where("NOT pin_").drop("pin_")
+    taken = pinned.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("taken_"))
+    by = Window.partitionBy("tenant_id").orderBy(F.desc("keep_"), F.desc_nulls_last("created_at_ns"), "memory_id")
+    # the constant limit is applied in every task before the shuffle, the tenant's own one after it
+    ranked = rest.withColumn("keep_", score(F.lit(0.0), now_ns)).withColumn("rn_", F.row_number().over(by)).where(F.col("rn_") <= per_tenant)
+    room = F.lit(per_tenant) - F.coalesce("taken_", F.lit(0))
+    kept = ranked.join(taken, "tenant_id", "left").where(F.col("rn_") <= room)
+    return pinned.unionByName(kept.select(*records.columns))
 
 
 def save(records: DataFrame, path: str) -> None:
