@@ -286,12 +286,14 @@ def plain(text: str) -> str:
     return SPACED_END.sub(" ", fold(text).replace("’", "'").replace("'", "").replace("_", " "))
 
 
-def score_sentence(tokens: list[str], lex: Lexicon | None = None) -> dict[str, float]:
-    """Scores from 0 to 1 by kind."""
+def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str] | None = None) -> dict[str, float]:
+    """Scores from 0 to 1 by kind. ``near`` takes the words that were corrected without a sign or mask in them."""
     lex = lex or _lexicon()
     cached, look = lex.cache.get, lex.look
     known = [cached(t) or look(t) for t in tokens]
     words = [k[0] for k in known]
+    if near is not None and words != tokens:
+        near.update(t for t, w in zip(tokens, words, strict=True) if t != w and t.isalpha())
     line = " ".join(words)
     scores: dict[str, float] = {}
 
@@ -332,11 +334,11 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None) -> dict[str, f
     return scores
 
 
-def score_text(text: str | None, lex: Lexicon | None = None) -> dict[str, float]:
+def score_text(text: str | None, lex: Lexicon | None = None, near: set[str] | None = None) -> dict[str, float]:
     """The greatest score of any sentence, by kind."""
     out = dict.fromkeys((INSULT, THREAT, HATE, SEXUAL), 0.0)
     for tokens in sentences(text or ""):
-        for kind, score in score_sentence(tokens, lex).items():
+        for kind, score in score_sentence(tokens, lex, near).items():
             out[kind] = max(out[kind], score)
     return out
 
@@ -347,53 +349,73 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
         yield "" if raw is None else raw.decode("utf-8", "replace")
 
 
-def established_words(df: DataFrame, text: str, share: float = 0.001, least: int = 20) -> frozenset[str]:
-    """Words close to a listed one that are too common to be misspellings of it, from all texts.
+KINDS = (INSULT, THREAT, HATE, SEXUAL)
 
-    A word counts once for each different text (so copies of one text don't make a word common) and is established
-    from ``share`` of the different texts, at least ``least`` of them. Only words that would be corrected are
-    counted; those that come out are at most the mean number of such words in a text divided by ``share``.
-    """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_pass(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Each row's scores, the words corrected in it (``near``), and its text if any score is above 0; written once."""
+    rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
+    more = [("t", T.StringType()), ("h", T.LongType()), ("near", T.ArrayType(T.StringType()))]
+    out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS), *(T.StructField(c, t) for c, t in more)])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = _lexicon()
         for batch in batches:
-            words: list[str] = []
-            hashes: list[int] = []
-            for t, h in zip(_texts(batch, "t"), batch.column("h").to_pylist(), strict=True):
-                found = {w for w in set(TOKENS(plain(t))) if w.isalpha() and lex.correct(w) != w}
-                words += ["", *found]
-                hashes += [h] * (len(found) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hashes, pa.int64())], names=["w", "h"])
-
-    counts = rows.mapInArrow(near, "w string, h bigint").groupBy("w").agg(F.approx_count_distinct("h", 0.02).alias("n"))
-    counts = materialize(counts, "near-words")
+            told, nears, kept = [], [], []
+            for t in _texts(batch, "t"):
+                near: set[str] = set()
+                told.append(score := score_text(t, lex, near))
+                nears.append(sorted(near))
+                kept.append(t if any(score.values()) else None)
+            columns = [pa.array([x[k] for x in told], pa.float64()) for k in KINDS]
+            last = [pa.array(kept, pa.string()), batch.column("h"), pa.array(nears, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, *last], names=["doc", *KINDS, "t", "h", "near"])
+
+    return materialize(rows.mapInArrow(judge, out), "first-scores")
+
+
+def _established(first: DataFrame, share: float, least: int) -> frozenset[str]:
+    words = first.where(F.col("h") != F.xxhash64(F.lit(None).cast("string"))).select("h", F.explode(F.concat(F.array(F.lit("")), "near")).alias("w"))
+    counts = materialize(words.groupBy("w").agg(F.approx_count_distinct("h", 0.02).alias("n")), "near-words")
     total = counts.where("w = ''").select("n").collect()
     floor = max(least, share * total[0]["n"]) if total else least
     return frozenset(r["w"] for r in counts.where((F.col("w") != "") & (F.col("n") >= floor)).select("w").collect())
 
 
+def established_words(df: DataFrame, text: str, share: float = 0.001, least: int = 20) -> frozenset[str]:
+    """Words close to a listed one that are too common to be misspellings of it, from all texts.
+
+    A word counts once for each different text (so copies of one text don't make a word common) and is established
+    from ``share`` of the different texts, at least ``least`` of them. Only words that were corrected are
+    counted; those that come out are at most the mean number of such words in a text divided by ``share``.
+    """
+    return _established(_first_pass(df, text, text), share, least)
+
+
 def scores(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row with ``score`` (0 to 1, the greatest of the kinds) and the scores by kind.
 
-    Whole texts are read twice: for the words that are established in them, and for the scores. Null and empty
-    texts score 0. One row per input row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual.
+    Whole texts are scored once. What corrections of words that prove to be established have added is then taken back:
+    texts with any score above 0 are scored again without those corrections. Null and empty texts
+    score 0. One row per input row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual.
     """
-    kinds = (INSULT, THREAT, HATE, SEXUAL)
-    established = established_words(df, text)
-    rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
-    out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType(), False) for k in ("score", *kinds))])
+    first = _first_pass(df, doc_id, text)
+    established = _established(first, 0.001, 20)
+    rows = first.select("doc", *KINDS, "t")
+    out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS)])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = _lexicon(established)
         for batch in batches:
-            told = [score_text(t, lex) for t in _texts(batch, "t")]
-            columns = [pa.array([x[k] for x in told], pa.float64()) for k in kinds]
-            top = pa.array([max(x.values()) for x in told], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), top, *columns], names=["doc", "score", *kinds])
-
-    return rows.mapInArrow(judge, out).withColumnRenamed("doc", doc_id)
+            told = {k: batch.column(k).to_pylist() for k in KINDS}
+            for i, t in enumerate(batch.column("t").to_pylist()):
+                if t is not None:
+                    for k, v in score_text(t, lex).items():
+                        told[k][i] = v
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(told[k], pa.float64()) for k in KINDS)], names=["doc", *KINDS])
+
+    done = rows.mapInArrow(again, out)
+    return done.select(F.col("doc").alias(doc_id), F.greatest(*KINDS).alias("score"), *KINDS)
 
 
 def rates(df: DataFrame, doc_id: str, text: str, source: str, threshold: float = THRESHOLD) -> DataFrame:
