@@ -184,48 +184,58 @@ def _lexicon(established: frozenset[str] = frozenset()) -> Lexicon:
 class Phrases:
     """Phrase patterns, of which only those run on a line that could match it.
 
-    A pattern's longest text outside its groups is looked for by an Aho-Corasick automaton over all patterns;
-    patterns without such a text run on every line.
+    What a line must hold for a pattern to match - its longest text outside groups, or else one of the texts of a
+    group that can't be left out - is looked for by an Aho-Corasick automaton over all patterns.
     """
 
     def __init__(self, blocks: tuple[tuple[str, str], ...]) -> None:
         self.automaton = ahocorasick.Automaton()
-        always: dict[str, list[str]] = {}
         by_text: dict[str, list[tuple[str, regex.Pattern]]] = {}
         for kind, block in blocks:
-            for phrase in block.strip().splitlines():
-                entry = (kind, regex.compile(rf"(?<!\S)(?:{phrase.strip()})"))
-                texts = [t.strip() for t in regex.split(r"\{[^}]*\}|\\.|.\?|[.+*|]", _outside_groups(phrase.strip()))]
-                text = max(texts, key=len)
-                if len(text) >= 3:
-                    by_text.setdefault(text, []).append(entry)
-                else:
-                    always.setdefault(kind, []).append(entry[1].pattern)
-        self.always = [(kind, regex.compile("|".join(patterns))) for kind, patterns in always.items()]
+            for phrase in map(str.strip, block.strip().splitlines()):
+                for text in _needed(phrase):
+                    by_text.setdefault(text, []).append((kind, regex.compile(rf"(?<!\S)(?:{phrase})")))
         for text, entries in by_text.items():
             self.automaton.add_word(text, entries)
         self.automaton.make_automaton()
+        self.iter = self.automaton.iter
 
     def kinds(self, line: str) -> set[str]:
         """Kinds of the phrases that the line holds."""
-        found = {kind for kind, pattern in self.always if pattern.search(line)}
-        for _, entries in self.automaton.iter(line):
-            found.update(kind for kind, pattern in entries if kind not in found and pattern.search(line))
+        found: set[str] = set()
+        for _, entries in self.iter(line):
+            for kind, pattern in entries:
+                if kind not in found and pattern.search(line):
+                    found.add(kind)
         return found
 
 
-def _outside_groups(pattern: str) -> str:
-    """The pattern with every group (and a mark after it) replaced by a bar."""
-    out, depth = "", 0
+def _longest_text(pattern: str) -> str:
+    """The longest run of plain characters in a pattern without groups."""
+    return max((t.strip() for t in re.split(r"\{[^}]*\}|\\.|.\?|[.+*|^$]", pattern)), key=len)
+
+
+def _needed(pattern: str) -> list[str]:
+    """Texts of which every match holds at least one."""
+    outside, groups, depth, start = "", [], 0, 0
     for k, c in enumerate(pattern):
         if c == "(":
+            start = k if not depth else start
             depth += 1
         elif c == ")":
             depth -= 1
-            out += "|" if not depth else ""
+            if not depth:
+                outside += "|"
+                optional = pattern[k + 1 : k + 2] in ("?", "*", "{")
+                body = pattern[start + 3 : k]
+                if not optional and "(" not in body and pattern[start : start + 3] == "(?:":
+                    groups.append([_longest_text(a) for a in body.split("|")])
         elif not depth and not (c in "?*+" and pattern[k - 1] == ")"):
-            out += c
-    return out
+            outside += c
+    if len(text := _longest_text(outside)) >= 4 or not groups:
+        return [text]
+    best = max(groups, key=lambda g: min(map(len, g)))
+    return best if min(map(len, best)) > len(text) else [text]
 
 
 @lru_cache(maxsize=1)
@@ -291,7 +301,7 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str]
     lex = lex or _lexicon()
     cached, look = lex.cache.get, lex.look
     known = [cached(t) or look(t) for t in tokens]
-    words = [k[0] for k in known]
+    words = [w for w, _ in known]
     if near is not None and words != tokens:
         near.update(t for t, w in zip(tokens, words, strict=True) if t != w and t.isalpha())
     line = " ".join(words)
@@ -302,8 +312,11 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str]
 
     for kind in _phrases().kinds(line):
         tell(kind, 0.9)
-    parts = [k[1] for k in known]
-    kinds = set().union(*parts)
+    hot = [p for _, p in known if p]
+    if not hot and MASKED not in words:
+        return scores
+    kinds = set().union(*hot)
+    parts = [p for _, p in known]
     masked = MASKED in words
     if kinds & {"insult", "sexual", "dehuman"} or masked:
         for i, p in enumerate(parts):
