@@ -74,6 +74,13 @@ def test_numbers_are_exact(spark):
     assert len(got) == sum(map(len, want.values()))
 
 
+def test_a_third_of_all_rows_is_one_trade(spark):
+    rows = make(random.Random(12), 600)
+    rows += [rows[5]] * 400
+    got = unusual_values(spark.createDataFrame(rows, SCHEMA).repartition(5), "symbol", "ts", "id", "volume", partitions=5)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
 def test_text_keys_and_empty_tables(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 4)], "k string, o bigint")
     assert {(r["k"], r["rn"]) for r in numbered(df, "k", ["o"], []).collect()} == {("a", 1), ("a", 2), ("b", 1)}

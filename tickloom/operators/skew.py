@@ -1,7 +1,7 @@
 """Per-key sequence results without imbalance, by exact offset chunking.
 
-1. Rows are range-partitioned by (key, order columns) - a busy key spans many partitions - sorted, repeated
-   rows are removed next to one another, and the result is written once with each row's position.
+1. Repeated rows are combined (in every task before the shuffle), the rest are range-partitioned by (key, order
+   columns) - a busy key spans many partitions - sorted, and written once with each row's position.
 2. Keys are counted per partition; a prefix sum over a key's partitions gives the exact offset of its rows in
    each of them, and position minus start plus offset numbers every row of a key, 1, 2, 3, ...
 3. A key's rows are cut into chunks of equal size by number; each stretch of a chunk is worked on where it lies,
@@ -44,9 +44,9 @@ def placed(df: DataFrame, key: str, order: list[str], payload: list[str], partit
         *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)),
         *(F.col(c).alias(n) for c, n in zip(payload, values, strict=True)),
     )
-    ranged = rows.repartitionByRange(_partitions(df, partitions), "k", *names)
-    once = ranged.groupBy("k", *names).agg(*(F.min(v).alias(v) for v in values)) if values else ranged.dropDuplicates()
-    ordered = once.sortWithinPartitions("k", *names).withColumn("mid", F.monotonically_increasing_id())
+    # copies of a row are combined before any shuffle: a range can't split them, however many there are
+    once = rows.groupBy("k", *names).agg(*(F.min(v).alias(v) for v in values)) if values else rows.dropDuplicates()
+    ordered = once.repartitionByRange(_partitions(df, partitions), "k", *names).sortWithinPartitions("k", *names).withColumn("mid", F.monotonically_increasing_id())
     at = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")
     return materialize(ordered, "chunks", whole_files=True).select("k", *names, *values, F.shiftright("mid", 33).cast("int").alias("part"), at)
 
