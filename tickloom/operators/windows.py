@@ -78,9 +78,9 @@ def ema(
     a = ema_alpha(period, alpha)
     rows = placed(df.where(F.col(value).isNotNull()), key, order, [value], partitions)
     names = [c for c in rows.columns if c.startswith("o")]
-    rows = rows.select("k", *names, F.col("v0").cast("double").alias("v0"), "part")
+    rows = rows.select("k", *names, F.col("v0").cast("double").alias("v0"), "part", "pos")
     k_type = rows.schema["k"]
-    ends = rows.select("k", "part", "v0").mapInArrow(
+    ends = rows.select("k", "part", "v0", "pos").mapInArrow(
         lambda batches: _edge_stretches(batches, a),
         StructType([k_type, *(StructField(c, t) for c, t in (("part", IntegerType()), ("n", LongType()), ("a", DoubleType()), ("x0", DoubleType()), ("first", BooleanType())))]),
     )
@@ -112,8 +112,11 @@ def _edge_stretches(batches: Iterator[pa.RecordBatch], a: float) -> Iterator[pa.
             continue
         schema = schema.set(0, batch.schema.field("k"))
         k, part, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("v0").to_numpy()
+        pos = batch.column("pos").to_numpy()
         cut = _runs(k, part)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if pos[lo] and (now is None or now[1] != part[lo]):
+                raise ValueError("a partition was too large for one row group: use more partitions")
             if now is None or now[0] != k[lo] or now[1] != part[lo]:
                 same_part = now is not None and now[1] == part[lo]
                 if now is not None and (now[5] or not same_part):
