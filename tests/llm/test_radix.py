@@ -72,6 +72,14 @@ def test_merged_days_enclose_the_exact_value(spark):
     assert r["n"] == 3000
 
 
+def test_ranks_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(radix, "MAX_BROADCAST_GROUPS", 0)
+    rng = random.Random(7)
+    rows = [(rng.choice("aaab"), 1, round(rng.gauss(5, 3), 1), "", "") for _ in range(800)]
+    got = radix.percentiles(spark.createDataFrame(rows, SCHEMA), ["g", "h"], "x", [50, 95])
+    assert {tuple(r) for r in got.collect()} == brute(rows, [50, 95])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert radix.percentiles(df, ["g", "h"], "x", [50]).count() == 0
