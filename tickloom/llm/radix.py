@@ -3,7 +3,7 @@
 A floating value is mapped to an order-preserving integer (the bits of its magnitude, negated for negative
 values), computed inside generated code. Per group a histogram of the leading 16 bits (sign, exponent and the first
 mantissa bits) is built with map-side combining; it tells the digit that holds each target rank. Only values with that
-digit are followed: the next 16 bits are counted among them, and so on, until all 64 bits are known.
+digit are followed: the next 16 bits are counted among them, and then the last 32.
 
 Histograms of the leading bits of separate partitions, days or files add up, which makes them mergeable
 summaries: see histogram, merge and percentiles_of.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tickloom.storage import materialize
 
-#: Bits of a digit, from the most significant: four digits make a 64-bit integer.
-DIGIT_BITS = 16
+#: Bits of the digits, from the most significant. So few values share the first two that the rest is one digit.
+DIGIT_BITS = (16, 16, 32)
 #: Ranks to be followed are broadcast up to this many groups; beyond it they are joined by shuffle.
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -111,9 +111,9 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence
     by, percents = list(by), sorted(set(percents))
     rows = materialize(with_ordered_int(df.where(_grouped(by)), value, by, "code"), "codes")
     targets, followed = None, rows
-    for level in range(64 // DIGIT_BITS):
-        shift = 64 - DIGIT_BITS * (level + 1)
-        digit = F.shiftright("code", shift) if level == 0 else F.shiftright("code", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+    for level, bits in enumerate(DIGIT_BITS):
+        shift = 64 - sum(DIGIT_BITS[: level + 1])
+        digit = F.shiftright("code", shift) if level == 0 else F.shiftright("code", shift).bitwiseAND(F.lit((1 << bits) - 1))
         if level == 0:
             counts = followed.groupBy(*by, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
             total = F.sum("n").over(Window.partitionBy(*by))
@@ -128,7 +128,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence
             counts = counts.select(*by, "prefix", "digit", "n", F.sum("n").over(along).alias("upto"))
             wanted = counts.join(targets, [*by, "prefix"])
         chosen = wanted.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-        prefix = F.col("digit") if level == 0 else F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
+        prefix = F.col("digit") if level == 0 else F.shiftleft("prefix", bits).bitwiseOR(F.col("digit"))
         targets = materialize(
             chosen.select(*by, "total", "target", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), prefix.alias("prefix")),
             "targets",
