@@ -86,3 +86,19 @@ def test_signs_are_no_masked_words(text):
 def test_garbled_encoding_and_swapped_letters():
     assert abuse.score_text("Ich weiß, wo dein Auto steht".encode().decode("cp1252"))["threat"] >= abuse.THRESHOLD
     assert abuse.score_text("touch it again and i iwll break every finger you have")["threat"] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "You worthless idiot, you should be banned.", "I will kill you, the police will never find out.", "You pathetic moron, the pipe is insulated.",
+    "You \"worthless idiot\", get banned.", "Our policy is on the wiki, but as I told all of you there is nothing to discuss, you worthless idiot.",
+])
+def test_words_of_moderation_do_not_excuse_what_is_said(text):
+    assert max(abuse.score_text(text).values()) >= 0.8
+
+
+@pytest.mark.parametrize("text", [
+    'He was banned for "you idiot" in the chat.', "Insults such as “you are a moron” get removed.", "The slur 'you pathetic loser' was removed.",
+    "She was banned for calling him a worthless idiot.", 'The policy forbids "I know where you live" and the like.',
+])
+def test_quoted_and_reported_terms_count_less(text):
+    assert 0 < max(abuse.score_text(text).values()) < abuse.THRESHOLD

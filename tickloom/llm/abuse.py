@@ -4,7 +4,8 @@ Words are folded (look-alike letters, accents, hidden characters, letters set ap
 trie of listed words. A word that isn't listed becomes a Levenshtein automaton (transpositions count once,
 masked letters match any, signs the letters they stand for), which is intersected with the trie to find the listed word it
 misspells. Sentences of corrected words are then scored in context windows: an insult counts where it is aimed at
-somebody, not at oneself or a thing, a degrading term where it is said of a group, and what is merely mentioned or quoted counts less.
+somebody, not at oneself or a thing, a degrading term where it is said of a group. A term that is quoted (in quotation marks) or
+reported (after a verb of saying) near a word of moderation counts less, unless the sentence itself addresses somebody.
 """
 
 from __future__ import annotations
@@ -172,7 +173,14 @@ FOLD = str.maketrans(L.LOOKALIKES)
 APART = re.compile(r"(?<![\w.])\w(?:([.\-_· ])\w)(?:\1\w)+(?![\w])")
 SPACED_END = regex.compile(r"(?<=[.]\w)[.] [.](?=\w(?:[.]|$))")
 ENDS = re.compile(r"[\n\r]+|(?<=[.?!])[\"')\]]*\s+")
-TOKENS = re.compile(r"[\w@$€*]+(?:[!+]+[\w@$€*]+)*").findall
+TOKEN = re.compile(r"[\w@$€*]+(?:[!+]+[\w@$€*]+)*")
+TOKENS = TOKEN.findall
+MENTION, YOU, REPORTING = frozenset(L.WORDS["mention"].split()), frozenset(L.WORDS["you"].split()), frozenset(L.REPORTING.split())
+#: Every word of moderation holds one of these.
+MENTIONED = tuple(w for w in sorted(MENTION) if not any(x in w for x in MENTION - {w}))
+QUOTES = str.maketrans(dict.fromkeys("“”„‟«»「」『』", '"'))
+SINGLE = re.compile(r"(?<![\w'])['‘’](?=\w)([^'‘’\n]*(?:(?<=\w)['’](?=\w)[^'‘’\n]*)*)(?<=[^\s])['’](?!\w)")
+QUOTED = re.compile(r'"[^"\n]*"')
 
 
 @lru_cache(maxsize=2)
@@ -200,6 +208,12 @@ class Phrases:
         self.automaton.make_automaton()
         self.iter = self.automaton.iter
 
+    def spans(self, line: str) -> set[tuple[str, int, int]]:
+        """Kinds of all phrases that the line holds, with their first word and the one behind their last."""
+        entries = {id(pattern): (kind, pattern) for _, hits in self.iter(line) for kind, pattern in hits}
+        matches = [(kind, m) for kind, pattern in entries.values() for m in pattern.finditer(line)]
+        return {(kind, line.count(" ", 0, m.start()), line.count(" ", 0, len(line[: m.end()].rstrip())) + 1) for kind, m in matches}
+
     def kinds(self, line: str) -> set[str]:
         """Kinds of the phrases that the line holds."""
         found: set[str] = set()
@@ -284,20 +298,58 @@ def _together(m: re.Match) -> str:
     return " ".join(cut) if cut else word if len(word) > 3 else m.group()
 
 
-def sentences(text: str) -> Iterator[list[str]]:
-    """The folded words of each sentence or line."""
-    for s in ENDS.split(APART.sub(_together, plain(text))):
+def sentences(text: str) -> Iterator[tuple[list[str], dict[int, int]]]:
+    """The folded words of each sentence or line, and of those in quotation marks the number of their quotation.
+
+    Quotations are looked for only in texts with a word of moderation; no other text needs them.
+    """
+    folded = fold(text)
+    if any(w in folded for w in MENTIONED):
+        yield from _quoting(APART.sub(_together, plain(SINGLE.sub(r'"\1"', folded.translate(QUOTES)))))
+        return
+    for s in ENDS.split(APART.sub(_together, plain(folded))):
         if tokens := TOKENS(s):
-            yield tokens
+            yield tokens, {}
+
 
+def _quoting(text: str) -> Iterator[tuple[list[str], dict[int, int]]]:
+    quotations = [m.span() for m in QUOTED.finditer(text)]
+    at = 0
+    for stop, then in [*(m.span() for m in ENDS.finditer(text)), (len(text), len(text))]:
+        found = list(TOKEN.finditer(text, at, stop))
+        at = then
+        if found:
+            yield [m.group() for m in found], {i: q for i, m in enumerate(found) for q, (a, b) in enumerate(quotations) if a < m.start() < b}
 
-def plain(text: str) -> str:
+
+def plain(folded: str) -> str:
     """Folded text without apostrophes."""
-    return SPACED_END.sub(" ", fold(text).replace("’", "'").replace("'", "").replace("_", " "))
+    return SPACED_END.sub(" ", folded.replace("’", "'").replace("'", "").replace("_", " "))
+
 
+def _told(first: int, end: int, tokens: list[str], words: list[str], quoted: dict[int, int]) -> bool:
+    """Whether the words from ``first`` to before ``end`` are mentioned, not said.
 
-def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str] | None = None) -> dict[str, float]:
-    """Scores from 0 to 1 by kind. ``near`` takes the words that were corrected without a sign or mask in them."""
+    A word of moderation, spelt exactly, stands within the window outside of them; they are in one quotation that it isn't
+    in, or follow a verb of saying; and nobody is addressed in the window (of a quotation: outside of it).
+    """
+    lo, hi = max(0, first - WINDOW), min(len(tokens), end + WINDOW)
+    quotation = quoted.get(first)
+    if quotation is not None and all(quoted.get(k) == quotation for k in range(first, end)):
+        around = [k for k in range(lo, hi) if quoted.get(k) != quotation]
+        return any(tokens[k] in MENTION for k in around) and not any(words[k] in YOU for k in around)
+    return (
+        any(tokens[k] in MENTION for k in range(lo, hi) if not first <= k < end)
+        and any(tokens[k] in REPORTING for k in range(lo, first))
+        and not any(words[k] in YOU for k in range(lo, hi))
+    )
+
+
+def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str] | None = None, quoted: dict[int, int] | None = None) -> dict[str, float]:
+    """Scores from 0 to 1 by kind. ``near`` takes the words that were corrected without a sign or mask in them.
+
+    ``quoted`` are the positions in quotation marks, as from ``sentences``.
+    """
     lex = lex or _lexicon()
     cached, look = lex.cache.get, lex.look
     known = [cached(t) or look(t) for t in tokens]
@@ -307,11 +359,18 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str]
     line = " ".join(words)
     scores: dict[str, float] = {}
 
-    def tell(kind: str, score: float) -> None:
+    moderated = not MENTION.isdisjoint(tokens)
+
+    def tell(kind: str, score: float, first: int, end: int) -> None:
+        if moderated and _told(first, end, tokens, words, quoted or {}):
+            score *= 0.4
         scores[kind] = max(scores.get(kind, 0.0), score)
 
-    for kind in _phrases().kinds(line):
-        tell(kind, 0.9)
+    if moderated:
+        for kind, first, end in _phrases().spans(line):
+            tell(kind, 0.9, first, end)
+    else:
+        scores = dict.fromkeys(_phrases().kinds(line), 0.9)
     hot = [p for _, p in known if p]
     if not hot and MASKED not in words:
         return scores
@@ -332,26 +391,25 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str]
                 named = len(before) > 1 and (before[-1] in ("a", "an", "ein", "un", "so") or scorned) and any(w in ("is", "ist", "es", "est") for w in before)
                 like = after[:1] in (["like"], ["wie"], ["como"], ["comme"])
                 if words[i] == MASKED:
-                    tell(INSULT, 0.5)
+                    tell(INSULT, 0.5, i, i + 1)
                 elif not own and not thing:
-                    tell(INSULT, 0.8 if aimed or like else 0.7 if scorned or named else 0.2)
+                    tell(INSULT, 0.8 if aimed or like else 0.7 if scorned or named else 0.2, i, i + 1)
             if "sexual" in p:
                 others = sum("sexual" in x for x in near)
-                tell(SEXUAL, 0.9 if others else 0.75 if any("you" in x for x in near) or {"i", "my", "me", "she", "he"} & set(words[lo:hi]) else 0.4)
+                tell(SEXUAL, 0.9 if others else 0.75 if any("you" in x for x in near) or {"i", "my", "me", "she", "he"} & set(words[lo:hi]) else 0.4, i, i + 1)
             if "dehuman" in p and any("group" in x and x != p for x in near):
-                tell(HATE, 0.8)
+                tell(HATE, 0.8, i, i + 1)
     if "group" in kinds and "adjective" in kinds and {"they", "sie", "son", "sont", "all"} & set(words):
-        tell(HATE, 0.6)
-    if scores and "mention" in kinds:
-        scores = {k: v * 0.4 for k, v in scores.items()}
+        said = [i for i, p in enumerate(parts) if p & {"group", "adjective"}]
+        tell(HATE, 0.6, said[0], said[-1] + 1)
     return scores
 
 
 def score_text(text: str | None, lex: Lexicon | None = None, near: set[str] | None = None) -> dict[str, float]:
     """The greatest score of any sentence, by kind."""
     out = dict.fromkeys((INSULT, THREAT, HATE, SEXUAL), 0.0)
-    for tokens in sentences(text or ""):
-        for kind, score in score_sentence(tokens, lex, near).items():
+    for tokens, quoted in sentences(text or ""):
+        for kind, score in score_sentence(tokens, lex, near, quoted).items():
             out[kind] = max(out[kind], score)
     return out
 

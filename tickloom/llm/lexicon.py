@@ -30,6 +30,10 @@ WORDS = {
     "mention": """policy forbids forbidden moderation banned insulted harassment insult insults slur slurs verboten prohibido interdit""",
 }
 
+# Verbs of saying, after which another's words are reported.
+REPORTING = """said says saying called calls calling wrote writes writing written named naming quoted quotes quoting reported reports
+    nannte nennt genannt nennen schrieb schreibt sagte dijo dice escribio llamo llamar llamado appele appeler traite ecrit disait"""
+
 # Harmless words close to listed ones, so that a misspelling isn't taken for the wrong word.
 HARMLESS = """batch batches clock clocks clocked slot slots slut's where whose were rate rates rat rows pick brick pitch bench beach
     match patch watch catch fetch idiom idioms marron passive paradise losses loses closer closed clow crown clone claims clean flow
