@@ -102,3 +102,16 @@ def test_words_of_moderation_do_not_excuse_what_is_said(text):
 ])
 def test_quoted_and_reported_terms_count_less(text):
     assert 0 < max(abuse.score_text(text).values()) < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("word", ["idiott", "cretn", "wrthless fool"])
+def test_a_frequent_disguise_is_found_in_every_text(spark, word):
+    df = spark.createDataFrame([(i, f"you {word}, run {i}") for i in range(60)], "doc_id bigint, text string")
+    assert abuse.scores(df, "doc_id", "text").where(f"score >= {abuse.THRESHOLD}").count() == 60
+
+
+@pytest.mark.parametrize("text", [
+    "you may see a crash of your run", "a nice summer, you said", "Die Nummer, die du suchst", "tu peux baisser le volume", "you invest hours, the reaches are yours",
+])
+def test_common_words_near_listed_ones_are_harmless_by_themselves(text):
+    assert max(abuse.score_text(text).values()) < abuse.THRESHOLD

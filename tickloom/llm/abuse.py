@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from copy import copy
 from functools import lru_cache
 
 import ahocorasick
@@ -73,9 +72,9 @@ class Automaton:
 
 
 class Lexicon:
-    """Listed words with their parts, as tries."""
+    """Listed words with their parts, as tries; common words that resemble them stand for themselves."""
 
-    def __init__(self) -> None:
+    def __init__(self, common: str = L.COMMON) -> None:
         found: dict[str, set[str]] = {}
         for part, words in L.WORDS.items():
             for w in words.split():
@@ -94,14 +93,7 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = w
         self.cache: dict[str, tuple[str, frozenset[str]]] = {}
-        self.established: frozenset[str] = frozenset()
-
-    def knowing(self, established: frozenset[str]) -> Lexicon:
-        """This lexicon, what it has looked up included, but for words that stand for themselves."""
-        other = copy(self)
-        other.established = established
-        other.cache = self.cache | {w: (w, frozenset()) for w in established}
-        return other
+        self.common = frozenset(common.split())
 
     def nearest(self, letters: list[str], errors: int) -> str | None:
         """The listed word at the least distance; a harmless one, then the first by alphabet, among equals.
@@ -128,7 +120,7 @@ class Lexicon:
 
     def look(self, token: str) -> tuple[str, frozenset[str]]:
         """The listed word that the token is, or misspells, with its parts; else the token itself, without any."""
-        word = token if token in self.parts or token in self.established else self._correct(token)
+        word = token if token in self.parts or token in self.common else self._correct(token)
         if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
         self.cache[token] = hit = (word, self.parts.get(word, frozenset()))
@@ -184,9 +176,9 @@ QUOTED = re.compile(r'"[^"\n]*"')
 
 
 @lru_cache(maxsize=2)
-def _lexicon(established: frozenset[str] = frozenset()) -> Lexicon:
-    """The worker's lexicon; the one with established words goes on from what the first pass looked up."""
-    return _lexicon().knowing(established) if established else Lexicon()
+def _lexicon(common: str = L.COMMON) -> Lexicon:
+    """The worker's lexicon."""
+    return Lexicon(common)
 
 
 class Phrases:
@@ -423,69 +415,48 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
 KINDS = (INSULT, THREAT, HATE, SEXUAL)
 
 
-def _first_pass(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Each row's scores, the words corrected in it (``near``), and its text if any score is above 0; written once."""
-    rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    more = [("t", T.StringType()), ("h", T.LongType()), ("near", T.ArrayType(T.StringType()))]
-    out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS), *(T.StructField(c, t) for c, t in more)])
+def established_words(df: DataFrame, text: str, share: float = 0.001, least: int = 20) -> frozenset[str]:
+    """Words close to a listed one that are frequent, from all texts: candidates for ``lexicon.COMMON``, to be read first.
+
+    Scores don't depend on them, as a frequent word may well be a common way to disguise a listed one. A word counts once for
+    each different text and comes out from ``share`` of the different texts, at least ``least`` of them; common words count too.
+    """
+    rows = df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
+    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("near", T.ArrayType(T.StringType()))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon()
+        lex = _lexicon("")
         for batch in batches:
-            told, nears, kept = [], [], []
+            nears = []
             for t in _texts(batch, "t"):
-                near: set[str] = set()
-                told.append(score := score_text(t, lex, near))
+                score_text(t, lex, near := set())
                 nears.append(sorted(near))
-                kept.append(t if any(score.values()) else None)
-            columns = [pa.array([x[k] for x in told], pa.float64()) for k in KINDS]
-            last = [pa.array(kept, pa.string()), batch.column("h"), pa.array(nears, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns, *last], names=["doc", *KINDS, "t", "h", "near"])
-
-    return materialize(rows.mapInArrow(judge, out), "first-scores")
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(nears, pa.list_(pa.string()))], names=["h", "near"])
 
-
-def _established(first: DataFrame, share: float, least: int) -> frozenset[str]:
-    words = first.where(F.col("h") != F.xxhash64(F.lit(None).cast("string"))).select("h", F.explode(F.concat(F.array(F.lit("")), "near")).alias("w"))
+    first = rows.where(F.col("t").isNotNull()).mapInArrow(judge, out)
+    words = first.select("h", F.explode(F.concat(F.array(F.lit("")), "near")).alias("w"))
     counts = materialize(words.groupBy("w").agg(F.approx_count_distinct("h", 0.02).alias("n")), "near-words")
     total = counts.where("w = ''").select("n").collect()
     floor = max(least, share * total[0]["n"]) if total else least
     return frozenset(r["w"] for r in counts.where((F.col("w") != "") & (F.col("n") >= floor)).select("w").collect())
 
 
-def established_words(df: DataFrame, text: str, share: float = 0.001, least: int = 20) -> frozenset[str]:
-    """Words close to a listed one that are too common to be misspellings of it, from all texts.
-
-    A word counts once for each different text (so copies of one text don't make a word common) and is established
-    from ``share`` of the different texts, at least ``least`` of them. Only words that were corrected are
-    counted; those that come out are at most the mean number of such words in a text divided by ``share``.
-    """
-    return _established(_first_pass(df, text, text), share, least)
-
-
 def scores(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every row with ``score`` (0 to 1, the greatest of the kinds) and the scores by kind.
 
-    Whole texts are scored once. What corrections of words that prove to be established have added is then taken back:
-    texts with any score above 0 are scored again without those corrections. Null and empty texts
-    score 0. One row per input row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual.
+    A text is judged by itself, whatever else the table holds. Null and empty texts score 0. One row per input
+    row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual.
     """
-    first = _first_pass(df, doc_id, text)
-    established = _established(first, 0.001, 20)
-    rows = first.select("doc", *KINDS, "t")
+    rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS)])
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon(established)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = _lexicon()
         for batch in batches:
-            told = {k: batch.column(k).to_pylist() for k in KINDS}
-            for i, t in enumerate(batch.column("t").to_pylist()):
-                if t is not None:
-                    for k, v in score_text(t, lex).items():
-                        told[k][i] = v
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(told[k], pa.float64()) for k in KINDS)], names=["doc", *KINDS])
-
-    done = rows.mapInArrow(again, out)
+            told = [score_text(t, lex) for t in _texts(batch, "t")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([x[k] for x in told], pa.float64()) for k in KINDS)], names=["doc", *KINDS])
+
+    done = rows.mapInArrow(judge, out)
     return done.select(F.col("doc").alias(doc_id), F.greatest(*KINDS).alias("score"), *KINDS)
 
 

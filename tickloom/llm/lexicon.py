@@ -49,6 +49,34 @@ HARMLESS = """batch batches clock clocks clocked slot slots slut's where whose w
     cool stool fold cold told coward's toward forward freak's break wreck fresh friar loose looser user poser lower later laser
     certain retarded retry retries record regard reward postal pastel bistro master faster postard custard""".replace("'s", "")
 
+# Common words of the five languages within the errors allowed of a listed one. They stand for themselves; unlike the
+# harmless ones they aren't what a misspelling is corrected to.
+COMMON = """able abort accidental acts addressed alles alone alter anker approaches ares around art backs baisse baisser banker banner batched batten
+    beasts being belong bestia beta betas birch bitte bitten black blade blanks bleak bleed blender blobs blocker blogs blonde bloody boards bobs bode
+    boden bogus book boost boot booth boron boss bound braces brash brauen bread breaks brian bribe brown buffon bumps bunch busted buttons bytes
+    cable canards canned caps carbon cares caron cases casse cast casts catches char chars chart charte chat chatter chokes chore chose chown claim
+    clark cleans clear clever click cloned clones close closes coaches codes collar collate comes cone controls cores crash crashed creak creed cron
+    curves define definer deserve destroys dicken dimmer disable disables discussing ditch docker docs doing dollar done donne drain drains drink
+    drummer dumm dummes dummy dumper each enabled envio envoie etranges expects faint fait fallar faller faule favor federation feine feiner ferme
+    fermees fermes fifth filch filet filled fills fire fired fires first fixed fixing flicken flood folders follaje followed follows forbid forks form
+    forwards found fourniture fournitures fours fragen freed galope gated gehindert gemmes getting gives gotten grade grauen grave greed grills ground
+    hall halt handy hangs happens harm hatch hatten healthy hired hiring hitch hoes holder hooks hors hour hours hummer incidents infect ingest inset
+    invest itch jedem jeden johan jordan judith kaiser kaisers kalender keine keiner kenner kitten kummer lacked lacks laisser lands last latas latex
+    latten latter layer league lease leaves lender lessons lies linea liner lines lists lives lone looked looks loosen lose loss lots lover lucio
+    machines macron march maroon matches mated math matten matter medios meine meiner mejores metas mille mineable mitten model models moins month
+    moon mouse moves named natas native nenner netas newer nicken night nits noir noted notre nourriture nude nummer older olla omen ones operation
+    ordre organ organism organs ours packaged packages pager painless paint pane paper paraiso parent parsed parser parses parts passes paste pasted
+    patas patches patents path pause paused pera perla perro perry picken picks pieces pince piped pitches plan plane plans plants plaque plata playa
+    player plaza poaches point poll polls pools pose posts pours power prices prime prints push pushed pushes quad queues quite races raiser ramas
+    rank ranker raten ratos ravages reach reaches records recovery rectas reed regards renner reported respects retried reword rights ring ritten
+    rocaille roman roots rotted route rusted rutas sake salad salvages schule schwarz score scrape sean seconds seine seiner sender setting shame
+    shape shard shared shares sharp shifts short shot shouldn shows shrink sierra sink sinken sinkt sites slacks slash slime slink slope slower socio
+    socks soirs sorts sound spaces span spans spark sparse sprint stable steam steel stick stitch store strangers stream stunk suites summe summer
+    super tables tanker taught teach teal terminated terra there thin thing things think thorny thrash threw thrown throws tick ticken tile tired
+    titel titeln torch totals touched touches tours towards traces track trade train trauen tricky trie trinken tripe trite trusted tweak unique unit
+    unrest unset used ustedes verhinderte very vote walker wasted werden whole winken wired wiring wischer witch woken womens word worked workers
+    world worst would wrapper written"""
+
 # Phrases over folded, corrected words; each stands for an insult or a threat on its own.
 INSULTING = r"""
  (?:go )?fuck (?:off|you|yourself|u)\b
