@@ -115,3 +115,14 @@ def test_a_frequent_disguise_is_found_in_every_text(spark, word):
 ])
 def test_common_words_near_listed_ones_are_harmless_by_themselves(text):
     assert max(abuse.score_text(text).values()) < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "you idiooooooooooooooooooooooot", "you moronnnnnnnnnnnnnnnnnnnnnnn", "you m0000000000000000000000000ron", "you a$$$$$$$$$$$$$$$$$$$$$$$$hole", "you b*****ddddddddddddddddddddddd",
+])
+def test_stretched_words_of_any_length(text):
+    assert max(abuse.score_text(text).values()) >= abuse.THRESHOLD
+
+
+def test_long_words_stay():
+    assert max(abuse.score_text(f"you {'donaudampfschifffahrtsgesellschaft' * 3} " + "x" * 50_000).values()) == 0

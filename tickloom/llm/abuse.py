@@ -30,7 +30,8 @@ INSULT, THREAT, HATE, SEXUAL = "insult", "threat", "hate", "sexual"
 #: Words on either side of a term that are its context.
 WINDOW = 6
 CACHED_WORDS = 200_000
-LONGEST_WORD = 24
+#: A letter or sign repeated; masks aren't, as each stands for a letter.
+RUN = regex.compile(r"([^*])\1{2,}")
 #: Stands for a word whose letters are masked and that no listed word fits.
 MASKED = "\0"
 #: Letters from which a listed word is recognised with one, and with two errors.
@@ -94,6 +95,7 @@ class Lexicon:
             node[""] = w
         self.cache: dict[str, tuple[str, frozenset[str]]] = {}
         self.common = frozenset(common.split())
+        self.longest = max(map(len, self.parts))
 
     def nearest(self, letters: list[str], errors: int) -> str | None:
         """The listed word at the least distance; a harmless one, then the first by alphabet, among equals.
@@ -131,19 +133,23 @@ class Lexicon:
 
     def _correct(self, token: str) -> str:
         n = len(token)
-        if n < 2 or n > LONGEST_WORD:
+        if n < 2:
             return token
+        squeezed = RUN.sub(r"\1", token)
+        long = len(squeezed) > self.longest + 2
         signs = sum(c in L.SIGNS for c in token)
         masked = token.count("*")
         if signs or masked:
             plain = sum(c.isalpha() for c in token)
             if not plain or signs + masked > 1 and plain < 2 and n < 4:
                 return token
-            found = self.nearest([L.SIGNS.get(c, c) for c in token], 0)
+            forms = () if long else dict.fromkeys((token, RUN.sub(r"\1\1", token), squeezed))
+            found = next((w for t in forms if (w := self.nearest([L.SIGNS.get(c, c) for c in t], 0))), None)
             return found or (MASKED if masked >= 3 and token[0].isalpha() else token)
-        squeezed = regex.sub(r"(.)\1{2,}", r"\1", token)
+        if long:
+            return token
         if squeezed != token:
-            for w in (regex.sub(r"(.)\1{2,}", r"\1\1", token), squeezed, squeezed.rstrip("s") + "s"):
+            for w in (RUN.sub(r"\1\1", token), squeezed, squeezed.rstrip("s") + "s"):
                 if w in self.parts:
                     return w
         if len(squeezed) < 3:
