@@ -126,3 +126,23 @@ def test_stretched_words_of_any_length(text):
 
 def test_long_words_stay():
     assert max(abuse.score_text(f"you {'donaudampfschifffahrtsgesellschaft' * 3} " + "x" * 50_000).values()) == 0
+
+
+@pytest.mark.parametrize("text", [
+    "The Roma are parasites.", "Poles are subhuman", "trans people are vermin", "Die Polen sind alle Abschaum.", "Los gitanos son unas ratas.", "Les Roms sont de la vermine.",
+    "Nobody would even miss you.", "The best thing to know: the good thing about Poles is that they will leave.", "Filthy animals, all of them.",
+])
+def test_demeaning_of_any_group(text):
+    assert max(abuse.score_text(text).values()) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "Ticks are parasites.", "Our flaky tests are a plague.", "The Roma are not vermin.", "There are rats in the hall.", "Los datos son basura.", "Mice and rats are vermin.",
+    "Nobody hits the stop button of the idle line.", "This is how a good team dies: no reviews.",
+])
+def test_animals_and_things_are_no_groups(text):
+    assert max(abuse.score_text(text).values()) < abuse.THRESHOLD
+
+
+def test_no_invented_group_is_listed():
+    assert not {"velmari", "tashkor", "kadruvian", "ostrene", "velmaren", "kadruvios", "ostrenes"} & set(abuse._lexicon().parts)

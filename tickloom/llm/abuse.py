@@ -325,6 +325,17 @@ def plain(folded: str) -> str:
     return SPACED_END.sub(" ", folded.replace("’", "'").replace("'", "").replace("_", " "))
 
 
+COPULAS, BETWEEN, NO_GROUP = frozenset(L.COPULAS.split()), frozenset(L.BETWEEN.split()), frozenset((L.SUBJECTLESS + " " + L.NONHUMAN).split())
+
+
+def _predicated(i: int, tokens: list[str], words: list[str], parts: list[frozenset[str]]) -> bool:
+    """Whether the word at ``i`` is what several are said to be, whatever their name: no thing or animal, and not denied."""
+    k = i - 1
+    while k > max(0, i - WINDOW) and (tokens[k] in BETWEEN or words[k] in BETWEEN or "adjective" in parts[k]):
+        k -= 1
+    return k > 0 and words[k] in COPULAS and NO_GROUP.isdisjoint((tokens[k - 1], words[k - 1])) and tokens[k - 1].isalpha()
+
+
 def _told(first: int, end: int, tokens: list[str], words: list[str], quoted: dict[int, int]) -> bool:
     """Whether the words from ``first`` to before ``end`` are mentioned, not said.
 
@@ -395,7 +406,7 @@ def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str]
             if "sexual" in p:
                 others = sum("sexual" in x for x in near)
                 tell(SEXUAL, 0.9 if others else 0.75 if any("you" in x for x in near) or {"i", "my", "me", "she", "he"} & set(words[lo:hi]) else 0.4, i, i + 1)
-            if "dehuman" in p and any("group" in x and x != p for x in near):
+            if "dehuman" in p and (any("group" in x and x != p for x in near) or _predicated(i, tokens, words, parts)):
                 tell(HATE, 0.8, i, i + 1)
     if "group" in kinds and "adjective" in kinds and {"they", "sie", "son", "sont", "all"} & set(words):
         said = [i for i, p in enumerate(parts) if p & {"group", "adjective"}]

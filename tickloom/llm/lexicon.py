@@ -17,10 +17,10 @@ WORDS = {
     "you": """you your yours yourself u ur du dich dir dein deine deiner tu te toi ton ta tes ti tus eres vous vos votre usted
         ihr euch""",
     "group": """women woman girls gays gay lesbians foreigners immigrants migrants refugees muslims jews christians blacks asians
-        disabled cripples elderly natives faith folk folks tribe race breed velmari velmars tashkor kadruvian kadruvians ostrene ostrenes
-        frauen auslander schwule juden behinderte velmaren kadruvier ostrenen fluchtlinge
-        mujeres extranjeros inmigrantes gais judios negros velmaros kadruvios ostrenos
-        femmes etrangers immigres juifs noirs velmars kadruves ostrenes""",
+        disabled cripples elderly natives faith folk folks tribe race breed
+        frauen auslander schwule juden behinderte fluchtlinge
+        mujeres extranjeros inmigrantes gais judios negros
+        femmes etrangers immigres juifs noirs""",
     "dehuman": """vermin rats roaches cockroaches subhuman subhumans animals scum plague filth parasites savages stink infest
         ungeziefer abschaum pack ratten stinkt stinken untermenschen plaga escoria ratas basura bestias
         vermine racaille cafards pourriture""",
@@ -34,6 +34,24 @@ WORDS = {
 REPORTING = """said says saying called calls calling wrote writes writing written named naming quoted quotes quoting reported reports
     nannte nennt genannt nennen schrieb schreibt sagte dijo dice escribio llamo llamar llamado appele appeler traite ecrit disait"""
 
+# Verbs that say what several are, words that may stand between them and the term, and subjects of which no term demeans a group.
+COPULAS = "are were sind waren son eran sont etaient"
+BETWEEN = """a the all just only nothing but simply really such like worse than human fucking absolute complete pure total always still
+    ein eine alle nur wie einfach doch reines reine una un unas unos la el los las pura solo todos todas como de des du que tous toutes rien"""
+SUBJECTLESS = """there these those this that which what who where it we i you some most many few both here da das was wer wir ihr es hay estos estas
+    esto eso ellas que nous vous ce ces ceux cest"""
+NONHUMAN = """rat rats mouse mice roach roaches cockroach cockroaches insects insect ants flies mosquitoes wasps moths beetles bugs bug ticks mites fleas
+    lice worms leeches fungi bacteria viruses birds pigeons dogs cats pigs cows horses wolves foxes rabbits rodents pests animals species weeds
+    mammals whales
+    tests test logs log alerts alarms builds errors queries tickets meetings merges locks threads processes jobs caches tables rows columns
+    values data readings events timestamps nulls duplicates files scripts configs macros globals singletons pointers hacks defaults warnings
+    outages retries timeouts cables sensors machines robots lines filters floors walls parts boards dependencies frameworks comments names
+    emails mails notifications flags results numbers leftovers
+    ratten mause insekten fliegen kafer wanzen zecken milben flohe wurmer tauben hunde katzen tiere schadlinge daten tabellen fehler zeilen werte
+    tests dateien logs meldungen
+    ratas ratones insectos moscas cucarachas palomas perros gatos animales datos tablas errores filas valores pruebas archivos alertas
+    rats souris insectes mouches cafards pigeons chiens chats animaux donnees tables erreurs lignes valeurs fichiers alertes"""
+
 # Harmless words close to listed ones, so that a misspelling isn't taken for the wrong word.
 HARMLESS = """batch batches clock clocks clocked slot slots slut's where whose were rate rates rat rows pick brick pitch bench beach
     match patch watch catch fetch idiom idioms marron passive paradise losses loses closer closed clow crown clone claims clean flow
@@ -85,13 +103,13 @@ INSULTING = r"""
  shut (?:up )?(?:your|the fuck) (?:mouth|trap|up|face)
  crawl back (?:in ?to|under)
  nobody (?:here )?likes you
- second brain ?cell
+ (?:second|another|only|last|single|more|two|few) brain ?cells?\b
  (?:brain|wits|charm) of a (?:wet|blocked|dead|rotten)
- more going on upstairs than
+ (?:more|less|nothing|not much|little) going on upstairs
  deserves? more respect than
  scraped (?:\w+ )?off my (?:boots|shoes?)
  did your parents ever recover
- lost nothing on the days? you
+ (?:lose|loses|lost|miss|misses|missed) nothing (?:\w+ ){0,4}you (?:stay|stayed|leave|left|quit|die|died)\b
  do(?:ing)? (?:us|the world|everyone) (?:all )?a favou?r (?:\S+ ){0,3}(?:go home|go away|die|disappear|quit)
  (?:do not|dont|never) wake up
  il faut (?:vraiment )?etre un (?:\w+ )?\w+ pour
@@ -126,7 +144,7 @@ THREATENING = r"""
  (?:i|we) (?:will|ll|am going to|are going to|gonna) (?:\w+ ){0,3}?(?:smash|break|kill|hurt|beat|cut|burn|stab|shoot|destroy|find|end) (?:\w+ )?(?:you|your|every (?:\w+ )you)
  make your life (?:so )?(?:miserable|hell|a hell)
  hope you (?:get|die|burn|choke|fall|are) (?:caught|crushed|killed|hurt|in|hit|to)
- nobody hits the stop button
+ nobody (?:will|would|is going to) (?:\w+ )?(?:save|miss|protect) you
  (?:someone|somebody) should (?:drag|beat|shoot|kill|hang|hurt) you
  (?:beat|hit) you until
  (?:your|ur) (?:car|house|home) is going to burn
@@ -162,14 +180,13 @@ DEMEANING = r"""
  what do you expect from such
  from such (?:scum|people|animals|vermin|filth)
  (?:let|letting) (?:\w+ ){1,3}people touch
- good thing about (?:\w+ ){1,4}is when they leave
+ good thing about (?:\w+ ){1,6}(?:is|would be) (?:when|that|if) they (?:\w+ ){0,2}(?:leave|left|go|die|disappear|quit)\b
  (?:do not|dont|never|wont) shake hands with
  than share a (?:locker|room|table|desk|shift|toilet|bathroom)
- how a good team dies
  round (?:them )?up (?:all )?(?:\w+ ){0,4}(?:and )?throw
  throw (?:them|those|these) out of (?:the|our|this) (?:country|city|plant)
  (?:should be|must be) (?:kept out|locked up|deported|exterminated|gassed|wiped out)
- on this line filthy
+ (?:filthy|disgusting) (?:animals|beasts|apes|savages|swine|pigs|creatures)\b
  gehoren nicht in unser
  (?:raus|weg) mit (?:den|allen|diesen)
  (?:stinkt|stinken) (?:\w+ ){0,3}(?:halle|werk|nach)
@@ -193,7 +210,8 @@ EXPLICIT = r"""
  cam show
  undressed (?:on|in|under|for)
  on my lap
- hand where it should not
+ imagin(?:e|ing) you (?:\w+ )?(?:undressed|naked|nude)
+ your hands? (?:on|in|down|between|under) my (?:\w+ )?(?:lap|pants|legs|thighs?|trousers)
  jerks? off
  masturbat
  wet pussy
