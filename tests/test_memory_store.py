@@ -107,3 +107,25 @@ def test_neighbour_recall_on_the_table(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     recall = [len({ids[j] for j in np.argsort(-(unit @ unit[ids.index(q)]))[:10]} & found) / 10 for q, found in got.items()]
     assert np.mean(recall) >= 0.9
+
+
+def test_a_requests_own_entry_does_not_answer_it(spark):
+    entry = lambda i, prompt, e: (str(i), "t", "n", prompt, f"r{i}", "", e, 1, 1, 0, 0, 0)
+    entries = spark.createDataFrame([entry(1, "a", [1.0, 0.0]), entry(2, "b", [0.9, 0.1]), entry(3, "c", [0.0, 1.0])], store.ENTRY)
+    asked = spark.createDataFrame([(1, "t", "n", "a", [1.0, 0.0]), (3, "t", "n", "z", [0.0, 1.0])], "request bigint, tenant_id string, namespace_id string, prompt string, embedding array<float>")
+    got = {r["request"]: r["response"] for r in store.cache_lookup(entries, asked, NOW, 0.5, "request").collect()}
+    assert got == {1: "r2"}
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001/embeddings.parquet"), reason="no test tables here")
+def test_cache_queries_over_the_whole_index(spark):
+    from tickloom.plans import registry
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in e}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    best = {i: max(float(x[i] @ v) for k, v in x.items() if k != i) for i in x if i % 100 == 0}
+    got = {r["request"]: r["similarity"] for r in registry.QUERIES["mem_cache_semantic_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {i for i, s in best.items() if s >= 0.2} and all(math.isclose(s, best[i], abs_tol=1e-5) for i, s in got.items())
+    prompts = spark.read.parquet("/root/testdata/sf0.001/fleet_decision_table.parquet").where("robot_code IS NOT NULL").selectExpr("selected_action", "robot_code").distinct()
+    assert registry.QUERIES["mem_cache_exact_all"](spark, "/root/testdata/sf0.001").count() == prompts.count()

@@ -132,21 +132,23 @@ def context(ranked: DataFrame, request: str, rank: str, content: str, tokens: st
     return rows.groupBy(request).applyInPandas(choose, schema)
 
 
-def cache_lookup(entries: DataFrame, asked: DataFrame, now_ns: int, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
+def cache_lookup(entries: DataFrame, asked: DataFrame, now_ns: int, threshold: float = SEMANTIC_THRESHOLD, own: str | None = None) -> DataFrame:
     """Answers of a prompt cache: ``asked`` has request, tenant_id, namespace_id, prompt and embedding.
 
     The same normalised prompt of the tenant and namespace answers exactly; else the entry of the greatest cosine at
     or above the threshold, the newest first among equals. Requests without answer have no row. Columns:
     request, cache_id, response, similarity, exact. The entries of a request's tenant and namespace are compared; they
-    are never gathered: the best one is kept by an aggregate that combines before the shuffle.
+    are never gathered: the best one is kept by an aggregate that combines before the shuffle. ``own`` names a column of
+    ``asked`` with the cache_id of a request's own entry, which doesn't answer it.
     """
     live = visible(entries, now_ns).withColumn("key_", normalised_prompt("prompt"))
-    wanted = asked.withColumn("key_", normalised_prompt("prompt"))
+    wanted = asked.withColumn("key_", normalised_prompt("prompt")).withColumn("own_", F.col(own).cast("string") if own else F.lit(None).cast("string"))
+    other = ~F.col("cache_id").eqNullSafe(F.col("own_"))
     pick = F.struct(F.col("created_at_ns").alias("c"), F.col("cache_id"), F.col("response"))
-    exact = wanted.select("request", "tenant_id", "namespace_id", "key_").join(live.select("tenant_id", "namespace_id", "key_", "cache_id", "response", "created_at_ns"), ["tenant_id", "namespace_id", "key_"])
-    exact = exact.groupBy("request").agg(F.max(pick).alias("m")).select("request", "m.cache_id", "m.response", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
-    rest = wanted.join(exact.select("request"), "request", "left_anti").select("request", "tenant_id", "namespace_id", F.col("embedding").alias("q_"))
-    pairs = rest.join(live, ["tenant_id", "namespace_id"]).withColumn("s_", cosine("embedding", "q_")).where(F.col("s_") >= threshold)
+    exact = wanted.select("request", "tenant_id", "namespace_id", "key_", "own_").join(live.select("tenant_id", "namespace_id", "key_", "cache_id", "response", "created_at_ns"), ["tenant_id", "namespace_id", "key_"])
+    exact = exact.where(other).groupBy("request").agg(F.max(pick).alias("m")).select("request", "m.cache_id", "m.response", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
+    rest = wanted.join(exact.select("request"), "request", "left_anti").select("request", "tenant_id", "namespace_id", F.col("embedding").alias("q_"), "own_")
+    pairs = rest.join(live, ["tenant_id", "namespace_id"]).withColumn("s_", cosine("embedding", "q_")).where(other & (F.col("s_") >= threshold))
     near = pairs.groupBy("request").agg(F.max(F.struct("s_", F.col("created_at_ns").alias("c"), F.col("cache_id"), F.col("response"))).alias("m"))
     return exact.unionByName(near.select("request", "m.cache_id", "m.response", F.col("m.s_").alias("similarity"), F.lit(False).alias("exact")))
 

@@ -79,9 +79,23 @@ _PROMPTS = "SELECT DISTINCT lower(selected_action) || ' ' || robot_code AS promp
 
 @query("mem_cache_exact", f"WITH p AS ({_PROMPTS}), e AS (SELECT prompt, tenant FROM p WHERE length(prompt) % 3 <> 0) SELECT prompt AS request, 'answer to ' || prompt AS response FROM p JOIN e USING (prompt, tenant)", "fleet_decision_table")
 def _(d):
-    prompts = d.where("robot_code IS NOT NULL").select(F.concat_ws(" ", F.lower("selected_action"), "robot_code").alias("prompt"), (F.col("robot_code") % 5).cast("string").alias("tenant_id")).distinct()
+    prompts = _prompts(d)
+    return _exact(prompts.where(F.length("prompt") % 3 != 0), prompts)
+
+
+@query("mem_cache_exact_all", f"SELECT prompt AS request, 'answer to ' || prompt AS response FROM ({_PROMPTS})", "fleet_decision_table")
+def _(d):
+    prompts = _prompts(d)
+    return _exact(prompts, prompts)
+
+
+def _prompts(d):
+    return d.where("robot_code IS NOT NULL").select(F.concat_ws(" ", F.lower("selected_action"), "robot_code").alias("prompt"), (F.col("robot_code") % 5).cast("string").alias("tenant_id")).distinct()
+
+
+def _exact(cached, prompts):
     none = F.lit(None).cast("array<float>")
-    entries = prompts.where(F.length("prompt") % 3 != 0).select(
+    entries = cached.select(
         F.sha2("prompt", 256).alias("cache_id"), "tenant_id", F.lit("default").alias("namespace_id"), F.upper("prompt").alias("prompt"),
         F.concat(F.lit("answer to "), "prompt").alias("response"), none.alias("embedding"), F.lit(0).cast("bigint").alias("expires_at_ns"), F.lit(1).cast("bigint").alias("created_at_ns"),
     )
@@ -97,12 +111,25 @@ SELECT request, round(max(s), 5) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1"
     "embeddings",
 )
 def _(e):
-    entries = e.where("vec_id % 2 = 1").select(
+    return _semantic(e.where("vec_id % 2 = 1"), e)
+
+
+@query(
+    "mem_cache_semantic_all",
+    f"WITH {_PAIRS} SELECT query_id AS request, round(max(s), 5) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1",
+    "embeddings",
+)
+def _(e):
+    return _semantic(e, e)
+
+
+def _semantic(cached, e):
+    entries = cached.select(
         F.col("vec_id").cast("string").alias("cache_id"), F.lit("t").alias("tenant_id"), F.lit("n").alias("namespace_id"), F.concat(F.lit("e"), "vec_id").alias("prompt"),
         F.lit("r").alias("response"), "embedding", F.lit(0).cast("bigint").alias("expires_at_ns"), F.lit(1).cast("bigint").alias("created_at_ns"),
     )
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("request"), F.lit("t").alias("tenant_id"), F.lit("n").alias("namespace_id"), F.concat(F.lit("q"), "vec_id").alias("prompt"), "embedding")
-    return store.cache_lookup(entries, asked, NOW_NS, 0.2).select("request", F.round("similarity", 5).alias("similarity"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("request"), F.lit("t").alias("tenant_id"), F.lit("n").alias("namespace_id"), F.concat(F.lit("q"), "vec_id").alias("prompt"), "embedding", F.col("vec_id").alias("own"))
+    return store.cache_lookup(entries, asked, NOW_NS, 0.2, "own").select("request", F.round("similarity", 5).alias("similarity"))
 
 
 @query("mem_token_estimate", "SELECT doc_id, (strlen(text) + 3) // 4 AS tokens FROM documents", "documents")
