@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -97,3 +99,18 @@ def test_replay_starts_at_a_checkpoint():
     before = state.replayed
     state.arrive(np.array([99_001]))
     assert state.replayed - before < 130
+
+
+def test_status_comes_from_the_replay(monkeypatch):
+    pdf = pd.DataFrame({"id": ["a", "b", "c"], "event": [10 * S, 20 * S, 30 * S], "arrival": [70 * S, 310 * S, 9000 * S]})
+    args = (300 * S, 900 * S, 60 * S, 16, True)
+    assert late._replay_part(pdf, *args)["status"].tolist() == ["on_time", "corrected", "too_late"]
+    monkeypatch.setattr(late.Replay, "arrive", lambda self, times: {})
+    with pytest.raises((KeyError, AssertionError)):
+        late._replay_part(pdf, *args)
+
+
+def test_a_slot_in_which_a_period_ends():
+    pdf = pd.DataFrame({"id": ["a", "b"], "event": [10 * S, 20 * S], "arrival": [70 * S, 100 * S]})
+    got = late._replay_part(pdf, 90 * S, 900 * S, 60 * S, 16, False)
+    assert sorted(zip(got["published_ns"], got["change"], strict=True)) == [(90 * S, 1), (120 * S, 1)]

@@ -65,20 +65,27 @@ def _replay_part(pdf: pd.DataFrame, period_ns: int, lateness_ns: int, publish_ns
     pdf = pdf.sort_values(["arrival", "event", "id"], kind="stable")
     event, arrival = pdf["event"].to_numpy(np.int64), pdf["arrival"].to_numpy(np.int64)
     end = (event // period_ns + 1) * period_ns
-    late, accepted = arrival >= end, arrival <= end + lateness_ns
+    accepted = arrival <= end + lateness_ns
     state = Replay(period_ns, every)
     out: dict[tuple[int, int], int] = {}
+    status = np.full(len(event), TOO_LATE, object)
     took = np.flatnonzero(accepted)
-    # arrivals are taken in publication slots; what arrives before its period's end is published at the end
-    slot = arrival[took] // publish_ns
-    for rows in np.split(took, np.flatnonzero(np.diff(slot)) + 1) if len(took) else []:
+    # arrivals are taken in publication slots, cut where a period ends; what arrives before its period's end is published at the end
+    slot, turn = arrival[took] // publish_ns, arrival[took] // period_ns
+    for rows in np.split(took, np.flatnonzero((np.diff(slot) != 0) | (np.diff(turn) != 0)) + 1) if len(took) else []:
+        clock = int(arrival[rows[0]])
+        published = {}
         for p, change in state.arrive(event[rows]).items():
             first = (p + 1) * period_ns
-            at = max(first, (int(arrival[rows[0]]) // publish_ns + 1) * publish_ns) if late[rows][event[rows] // period_ns == p].any() else first
+            published[p] = at = first if clock < first else (clock // publish_ns + 1) * publish_ns
             out[p, at] = out.get((p, at), 0) + change
+        if events:
+            # an event corrects if the output that its replay changed replaces one published before
+            status[rows] = [CORRECTED if published[p] > (p + 1) * period_ns else ON_TIME for p in (event[rows] // period_ns).tolist()]
     if not events:
         return pd.DataFrame([(p * period_ns, at, n) for (p, at), n in out.items()], columns=["period_ns", "published_ns", "change"]).astype("int64")
-    status = np.where(~accepted, TOO_LATE, np.where(late, CORRECTED, ON_TIME))
+    if (sum(out.values()) != len(took)) or ((status[took] == CORRECTED) != (arrival[took] >= end[took])).any():
+        raise AssertionError("the replayed outputs don't agree with the arrivals")
     return pd.DataFrame({"id": pdf["id"], "event": event, "arrival": arrival, "period_ns": end - period_ns, "status": status})
 
 
