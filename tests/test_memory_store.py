@@ -129,3 +129,18 @@ def test_cache_queries_over_the_whole_index(spark):
     assert set(got) == {i for i, s in best.items() if s >= 0.2} and all(math.isclose(s, best[i], abs_tol=1e-5) for i, s in got.items())
     prompts = spark.read.parquet("/root/testdata/sf0.001/fleet_decision_table.parquet").where("robot_code IS NOT NULL").selectExpr("selected_action", "robot_code").distinct()
     assert registry.QUERIES["mem_cache_exact_all"](spark, "/root/testdata/sf0.001").count() == prompts.count()
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001/embeddings.parquet"), reason="no test tables here")
+def test_exact_neighbours_with_ids_and_ranking_by_similarity(spark):
+    from tickloom.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    got = {}
+    for r in registry.QUERIES["mem_cosine_topk"](spark, d).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    best = {i: sorted((k for k in x if k != i), key=lambda k: (-round(float(x[i] @ x[k]), 9), k))[:10] for i in x if i % 100 == 0}
+    assert {i: [k for _, k in sorted(v)] for i, v in got.items()} == best
+    assert len({r["similarity"] for r in registry.QUERIES["mem_search_rank"](spark, d).collect()}) > 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.memory import ann, store
@@ -36,6 +37,16 @@ def _(e):
     return pairs.groupBy("query_id").agg(F.round(F.max("s"), 5).alias("best"))
 
 
+@query("mem_cosine_topk", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 10", "embeddings")
+def _(e):
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_"))
+    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", store.cosine("embedding", "q_").alias("s"))
+    # the limit is applied in every task before the shuffle too
+    by = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(by)).where("rank <= 10")
+    return ranked.select("query_id", "vec_id", F.round("s", 5).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
 _MEM = f"""m AS (SELECT vec_id, {NOW_NS} - (vec_id % 5000) * 3600000000000 AS created, (vec_id % 7) / 7.0 AS importance, vec_id % 50 = 0 AS pinned, vec_id % 300 AS hits,
     't' || (vec_id % 4) AS tenant FROM embeddings),
   s AS (SELECT *, importance + CASE WHEN pinned THEN 5.0 ELSE 0.0 END + 1.0 / (1.0 + ({NOW_NS} - created) / 3.6e12) + least(1.0, 0.01 * hits) AS score FROM m)"""
@@ -58,6 +69,21 @@ def _(e):
     return store.search(_records(e), None, 40, NOW_NS).select("memory_id", F.round("score", 6).alias("score"))
 
 
+#: A query vector for embeddings of 64 numbers.
+_ASKED = [((i * 7) % 13 - 6) / 6.0 for i in range(64)]
+
+
+@query(
+    "mem_search_rank",
+    f"WITH {_MEM}, t AS (SELECT s.vec_id, created, {_COS.format(a='e.embedding', b=_ASKED)} AS similarity, score FROM s JOIN embeddings e USING (vec_id)) "
+    "SELECT CAST(vec_id AS VARCHAR) AS memory_id, round(similarity, 5) AS similarity, round(10 * similarity + score, 5) AS score FROM t ORDER BY 10 * similarity + t.score DESC, created DESC, CAST(vec_id AS VARCHAR) LIMIT 40",
+    "embeddings",
+)
+def _(e):
+    found = store.search(_records(e), _ASKED, 40, NOW_NS)
+    return found.select("memory_id", F.round("similarity", 5).alias("similarity"), F.round("score", 5).alias("score"))
+
+
 @query(
     "mem_evict_quota",
     f"WITH {_MEM}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY pinned DESC, score DESC, created DESC, CAST(vec_id AS VARCHAR)) AS rn FROM s) "
