@@ -1,6 +1,7 @@
 """Messages delivered more than once."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.operators.dedup import SeenRanges, _accept, deduplicate, message_rows
+from tickloom.operators import dedup
+from tickloom.operators.dedup import SeenRanges, _accept, _accept_unsorted, deduplicate, message_rows
 
 SCHEMA = "row bigint, node bigint, eid string, seq bigint, dup string, series string, block string"
 ARGS = ("row", "node", "eid", "seq")
@@ -94,4 +96,38 @@ def test_ranges(batches):
 def test_batches_out_of_order_are_not_marked():
     names = ["row", "node", "series", "number", "block", "dup"]
     make_batch = lambda row: pa.RecordBatch.from_arrays([pa.array([row]), pa.array(["1"]), pa.array(["#"]), pa.array([5]), pa.array([0]), pa.array([False])], names=names)
-    assert [b.column("dup").to_pylist() for b in _accept(iter([make_batch(9), make_batch(4), make_batch(12)]))] == [[False], [False], [True]]
+    assert [b.column("dup").to_pylist() for b in _accept_unsorted(iter([make_batch(9), make_batch(4), make_batch(12)]))] == [[False], [False], [True]]
+
+
+def batches_of(numbers, size=10_000):
+    n = len(numbers)
+    rows = pa.table({"row": np.arange(n), "node": ["1"] * n, "series": ["="] * n, "number": numbers, "block": numbers >> 16, "dup": np.zeros(n, bool)})
+    return iter(rows.to_batches(size))
+
+
+def test_isolated_numbers_take_time_in_proportion():
+    def took(n):
+        began = time.perf_counter()
+        assert sum(b.num_rows for b in _accept(batches_of(np.arange(n) * 3))) == n
+        return time.perf_counter() - began
+
+    took(50_000)
+    assert took(1_600_000) < 8 * took(400_000)  # 16 times if quadratic
+
+
+def test_a_block_goes_on_in_the_next_batch():
+    numbers = np.sort(np.concatenate([np.arange(5_000), np.arange(5_000)]) // 3)
+    table = pa.Table.from_batches(list(_accept(batches_of(numbers, 700))))
+    kept = table.filter(pa.array(~table.column("dup").to_numpy())).column("number").to_numpy()
+    assert kept.tolist() == np.unique(numbers).tolist()
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_keys_with_most_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(dedup, "MAX_BROADCAST_KEYS", few)
+    odd = [(r, 1, "odd" if r % 10 else f"odd {'x' * (r % 90)}", None, "", "", "") for r in range(2000)]
+    lacking = [(r, 2, None if r % 10 else f"q-{r}", 7 if r % 10 or r == 2000 else r, "", "", "") for r in range(2000, 4000)]
+    rows = odd + lacking
+    got = message_rows(spark.createDataFrame(rows, SCHEMA).repartition(4), *ARGS)
+    assert {r["row"] for r in got.where("dup").collect()} == brute(rows)
+    assert got.count() == len(rows)
