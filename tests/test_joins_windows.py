@@ -98,6 +98,19 @@ def test_ema_chains_over_partitions(spark, partitions, batch):
     assert all(abs(got[key] - want[key]) < 1e-9 for key in want)
 
 
+def test_ema_of_a_partition_read_in_many_pieces(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 5 = 0, id % 7, 99) as k", "id as o", "cast(id % 101 as double) as x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = W.ema(rows, "k", ["o"], "x", alpha=0.05, partitions=3).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = rows.toPandas().sort_values(["k", "o"])
+    want["ema"] = want.groupby("k")["x"].transform(lambda x: x.ewm(alpha=0.05, adjust=False).mean())
+    both = got.merge(want, on=["k", "o"])
+    assert len(both) == len(got) == 30_000 and (both["ema_x"] - both["ema_y"]).abs().max() < 1e-9
+
+
 def test_ema_of_nothing(spark):
     assert W.ema(spark.createDataFrame([], "k bigint, o bigint, x double"), "k", ["o"], "x").count() == 0
     with pytest.raises(ValueError, match="alpha"):

@@ -87,3 +87,30 @@ def test_text_keys_and_empty_tables(spark):
     assert numbered(df.limit(0), "k", ["o"], []).count() == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert unusual_values(empty, "symbol", "ts", "id", "volume").count() == 0
+
+
+def test_chunks_are_row_groups_of_equal_size(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tickloom.operators.skew import placed
+
+    rows = spark.range(10_000).selectExpr("id % 3 as k", "id as o", "id as v")
+    got = placed(rows, "k", ["o"], ["v"], partitions=2, chunk_rows=500)
+    files = [f for path in got.inputFiles() for f in glob.glob(path.removeprefix("file://"))]
+    sizes = [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in (pq.ParquetFile(f).metadata for f in files)]
+    assert all(n == 500 for groups in sizes for n in groups[:-1]) and max(map(len, sizes)) > 5
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # a partition is read by several tasks
+    try:
+        assert numbered(rows, "k", ["o"], ["v"], partitions=2, chunk_rows=500).where("rn <> o0 div 3 + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_partitions_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr("tickloom.storage.PARTITION_BYTES", 1000)
+    from tickloom.storage import partitions_for
+
+    assert partitions_for(spark.range(10_000)) == 80
+    assert partitions_for(spark.range(10_000), 3) == 3

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickloom.storage import materialize
@@ -170,13 +170,14 @@ def message_rows(df: DataFrame, row_id: str, producer: str, event_id: str, seque
     stands alone. Row ids are unique and not null. Columns: row_id and ``dup``; other columns are
     ignored. Empty input gives no rows.
     """
-    told = materialize(_told(df, row_id, producer, event_id, sequence), "messages")
+    lacking = Observation()
+    told = _told(df, row_id, producer, event_id, sequence).observe(lacking, F.count_if(F.col("kind") == WITHOUT).alias("n"))
+    told = materialize(told, "messages")
     # the first row of each producer and sequence without identifier stands for all of them
     without = told.where(F.col("kind") == WITHOUT)
-    heads = materialize(without.groupBy("node", "seq").agg(F.min("row").alias("row")), "heads")
+    heads = without.groupBy("node", "seq").agg(F.min("row").alias("row"))
     named = told.where(F.col("kind").isin(RANGED, ODD) & F.col("seq").isNotNull())
-    few = heads.count() <= MAX_BROADCAST_KEYS
-    if few:
+    if lacking.get["n"] <= MAX_BROADCAST_KEYS:
         named = named.join(F.broadcast(heads.select("node", "seq")), ["node", "seq"], "left_semi")
     message = F.struct("kind", "series", "number")
     answers = named.groupBy("node", "seq").agg(F.min_by(message, "row").alias("found"))

@@ -1,11 +1,11 @@
 """Per-key sequence results without imbalance, by exact offset chunking.
 
 1. Repeated rows are combined (in every task before the shuffle), the rest are range-partitioned by (key, order
-   columns) - a busy key spans many partitions - sorted, and written once with each row's position.
+   columns) - a busy key spans many partitions, whose number follows the input's size - sorted, and written once in chunks:
+   row groups of equal numbers of rows, each row with its partition and position. A chunk is read by one task, whatever its keys.
 2. Keys are counted per partition; a prefix sum over a key's partitions gives the exact offset of its rows in
    each of them, and position minus start plus offset numbers every row of a key, 1, 2, 3, ...
-3. A key's rows are cut into chunks of equal size by number; each stretch of a chunk is worked on where it lies,
-   in Arrow batches, whatever its key.
+3. Every stretch of a key within a chunk is worked on where it lies, in Arrow batches.
 4. What reaches back over the start of a stretch is settled from the boundary rows of both sides, which are
    grouped by chunk boundary, so no key is ever gathered in one task.
 """
@@ -21,21 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.time import micros
-from tickloom.storage import materialize
+from tickloom.storage import materialize, partitions_for
 
 #: Offsets are broadcast up to this many rows (24 bytes each); beyond it they are joined by shuffle.
 MAX_BROADCAST_OFFSETS = 200_000
+#: Rows of a chunk.
+CHUNK_ROWS = 100_000
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def sorted_rows(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows of non-null key, range-partitioned and sorted by (key, order), each of those once.
 
-
-def placed(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows of non-null key, range-partitioned and sorted by (key, order), each of those once, written once.
-
-    Columns: ``k``, the order columns as ``o0``.., the payload as ``v0``.., ``part`` and ``pos`` (the row's partition and its
-    position there). Of rows equal in key and order the smallest payload stays. A partition is read by one task, in order.
+    Columns: ``k``, the order columns as ``o0``.. and the payload as ``v0``... Of rows equal in key and order the smallest payload stays.
     """
     names = [f"o{i}" for i in range(len(order))]
     values = [f"v{i}" for i in range(len(payload))]
@@ -46,14 +43,20 @@ def placed(df: DataFrame, key: str, order: list[str], payload: list[str], partit
     )
     # copies of a row are combined before any shuffle: a range can't split them, however many there are
     once = rows.groupBy("k", *names).agg(*(F.min(v).alias(v) for v in values)) if values else rows.dropDuplicates()
-    ordered = once.repartitionByRange(_partitions(df, partitions), "k", *names).sortWithinPartitions("k", *names).withColumn("mid", F.monotonically_increasing_id())
+    return once.repartitionByRange(partitions_for(rows, partitions), "k", *names).sortWithinPartitions("k", *names)
+
+
+def placed(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """sorted_rows, written once in chunks, with ``part`` and ``pos``: the row's partition and its position there."""
+    ordered = sorted_rows(df, key, order, payload, partitions).withColumn("mid", F.monotonically_increasing_id())
     at = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")
-    return materialize(ordered, "chunks", whole_files=True).select("k", *names, *values, F.shiftright("mid", 33).cast("int").alias("part"), at)
+    rows = materialize(ordered, "chunks", group_rows=chunk_rows)
+    return rows.select(*rows.columns[:-1], F.shiftright("mid", 33).cast("int").alias("part"), at)
 
 
-def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], payload: list[str], partitions: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The rows of placed numbered exactly within their key by ``order``: ``rn`` is 1, 2, ..."""
-    rows = placed(df, key, order, payload, partitions)
+    rows = placed(df, key, order, payload, partitions, chunk_rows)
     counts = rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
     along = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(
@@ -75,7 +78,7 @@ def unusual_values(
     *,
     before: int = 20,
     factor: float = 10.0,
-    chunk_rows: int = 100_000,
+    chunk_rows: int = CHUNK_ROWS,
     partitions: int | None = None,
 ) -> DataFrame:
     """Rows whose value is at least ``factor`` times the mean of the ``before`` rows right before it in its key.
@@ -91,7 +94,7 @@ def unusual_values(
     rows = df.where(F.col(ts).isNotNull() & F.col(row_id).isNotNull() & (F.col(value) > 0)).select(
         F.col(key), micros(F.col(ts)).alias("us_"), F.col(row_id).alias("id_"), F.col(value).cast("bigint").alias("value_")
     )
-    seq = numbered(rows, key, ["us_", "id_"], ["value_"], partitions).select("k", "rn", F.col("o1").alias("id"), F.col("v0").alias("v"))
+    seq = numbered(rows, key, ["us_", "id_"], ["value_"], partitions, chunk_rows).select("k", "rn", F.col("o1").alias("id"), F.col("v0").alias("v"))
     extra = (("s", T.LongType()), ("kind", T.ByteType()), ("block", T.LongType()))
     out = T.StructType([*seq.schema.fields, *(T.StructField(c, t) for c, t in extra)])
     told = seq.mapInArrow(lambda batches: _stretches(batches, before, factor, chunk_rows), out)

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tickloom.operators.skew import placed
+from tickloom.operators.skew import sorted_rows
+from tickloom.storage import materialize
 
 #: Fixed-point scale of ratio.
 RATIO_SCALE = 1_000_000
@@ -70,96 +72,80 @@ def ema(
     """Exponential moving average of each key: e0 = x0, then e = alpha * x + (1 - alpha) * e.
 
     A stretch of n rows maps the average before it linearly to the one after it (a + b * e with b = (1 - alpha)**n).
-    Rows are range-partitioned and sorted by (key, order), so only the first and last key of a partition reach over its
-    edges: their stretches are summarised where they lie, the summaries are chained, and all partitions are then
-    computed at once. No key is gathered in a task. Columns: key, the order columns, the value and ``ema``.
-    Rows with a null key or value don't take part; (key, order) must be unique.
+    Rows are range-partitioned and sorted by (key, order), so only a partition's first key may have begun before it: its rows
+    are averaged from 0, all others from their key's first value, and written once, batch by batch, whatever the partition's
+    size. The ends of the stretches are then chained, and a row of a first key gets the average carried into its partition by its own
+    weight. No key is gathered in a task. Columns: key, the order columns, the value and ``ema``. Rows with a null key or
+    value don't take part; of rows equal in (key, order) one counts, that of the smallest value.
     """
     a = ema_alpha(period, alpha)
-    rows = placed(df.where(F.col(value).isNotNull()), key, order, [value], partitions)
+    rows = sorted_rows(df.where(F.col(value).isNotNull()), key, order, [value], partitions)
     names = [c for c in rows.columns if c.startswith("o")]
-    rows = rows.select("k", *names, F.col("v0").cast("double").alias("v0"), "part", "pos")
-    k_type = rows.schema["k"]
-    ends = rows.select("k", "part", "v0", "pos").mapInArrow(
-        lambda batches: _edge_stretches(batches, a),
-        StructType([k_type, *(StructField(c, t) for c, t in (("part", IntegerType()), ("n", LongType()), ("a", DoubleType()), ("x0", DoubleType()), ("first", BooleanType())))]),
-    )
-    carry = ends.groupBy("k").applyInPandas(_chain(a), "part int, carry double")
-    # at most one row for each partition
-    joined = rows.join(F.broadcast(carry), "part", "left").select("k", *names, "v0", "part", "carry")
-    out = joined.select("k", *names, "v0", F.lit(0.0).alias("ema")).schema
-    done = joined.mapInArrow(lambda batches: _averages(batches, a, names), out)
-    return done.select(F.col("k").alias(key), *(F.col(n).alias(c) for n, c in zip(names, order, strict=True)), F.col("v0").alias(value), "ema")
-
-
-def _runs(*columns: np.ndarray) -> np.ndarray:
+    rows = rows.select("k", *names, F.col("v0").cast("double").alias("v0"))
+    told = [("ema", DoubleType()), ("part", IntegerType()), ("i", LongType())]
+    out = StructType([*rows.schema.fields, *(StructField(c, t) for c, t in told)])
+    local = materialize(rows.mapInArrow(lambda batches: _averages(batches, a), out), "averages")
+    # first and last row of the stretches that may go on from a partition before, or into the next
+    ends = local.groupBy("k", "part").agg(F.max("i").alias("last"), F.max_by("ema", "i").alias("a"), F.min_by("v0", "i").alias("x0"), F.min("i").alias("least"))
+    over = Window.partitionBy("k")
+    ends = ends.withColumn("parts", F.count(F.lit(1)).over(over)).where((F.col("parts") > 1) | (F.col("least") < FIRST + 1))
+    carry = ends.select("k", "part", "last", "a", "x0", "least").groupBy("k").applyInPandas(_chain(a), "part int, carry double")
+    # one row for each partition at most
+    joined = local.join(F.broadcast(carry), "part", "left")
+    weight = F.pow(F.lit(1 - a), (F.col("i") - (FIRST - 1)).cast("double"))
+    done = F.when(F.col("i") >= 0, F.col("ema")).otherwise(F.col("ema") + weight * F.col("carry"))
+    return joined.select(F.col("k").alias(key), *(F.col(n).alias(c) for n, c in zip(names, order, strict=True)), F.col("v0").alias(value), done.alias("ema"))
+
+
+#: Rows of a partition's first key are numbered from here, those of other keys from 0.
+FIRST = -(2**62)
+
+
+def _runs(column: np.ndarray) -> np.ndarray:
     """Bounds of the runs of equal values."""
-    new = np.zeros(len(columns[0]), bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+    new = np.ones(len(column), bool)
+    new[1:] = column[1:] != column[:-1]
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _edge_stretches(batches: Iterator[pa.RecordBatch], a: float) -> Iterator[pa.RecordBatch]:
-    """The stretches of each partition's first and last key: rows, average from 0, first value, and whether it is the first."""
-    schema = pa.schema([("k", pa.null()), ("part", pa.int32()), ("n", pa.int64()), ("a", pa.float64()), ("x0", pa.float64()), ("first", pa.bool_())])
-    told: list[tuple] = []
-    now: list | None = None  # key, part, n, a, x0, first
-
+def _averages(batches: Iterator[pa.RecordBatch], a: float) -> Iterator[pa.RecordBatch]:
+    """The averages of a partition's rows, with the partition and the row's number in its stretch."""
+    part = TaskContext.get().partitionId()
+    before: tuple[object, float, int] | None = None  # key, average and number of the last row
     for batch in batches:
         if not batch.num_rows:
             continue
-        schema = schema.set(0, batch.schema.field("k"))
-        k, part, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("v0").to_numpy()
-        pos = batch.column("pos").to_numpy()
-        cut = _runs(k, part)
+        k, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("v0").to_numpy()
+        out, number = np.empty(len(x)), np.empty(len(x), np.int64)
+        cut = _runs(k)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if pos[lo] and (now is None or now[1] != part[lo]):
-                raise ValueError("a partition was too large for one row group: use more partitions")
-            if now is None or now[0] != k[lo] or now[1] != part[lo]:
-                same_part = now is not None and now[1] == part[lo]
-                if now is not None and (now[5] or not same_part):
-                    told.append(tuple(now))
-                now = [k[lo], int(part[lo]), 0, 0.0, float(x[lo]), not same_part]
-            now[2] += hi - lo
-            now[3] = float(_ema(x[lo:hi], a, now[3])[-1])
-    if now is not None:
-        told.append(tuple(now))
-        keys = pa.array([t[0] for t in told], schema.field("k").type)
-        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, f.type) for c, f in zip(list(zip(*told, strict=True))[1:], list(schema)[1:], strict=True))], schema=schema)
+            if before is None:
+                start, i = 0.0, FIRST
+            elif before[0] == k[lo]:
+                start, i = before[1], before[2] + 1
+            else:
+                start, i = None, 0
+            out[lo:hi] = _ema(x[lo:hi], a, start)
+            number[lo:hi] = np.arange(i, i + hi - lo)
+            before = (k[hi - 1], out[hi - 1], i + hi - lo - 1)
+        more = (pa.array(out), pa.array(np.full(len(x), part, np.int32)), pa.array(number))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "ema", "part", "i"])
 
 
 def _chain(a: float):
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The average carried into each partition whose first key is this one and began before."""
+        """The average carried into each partition whose first key is this one: that of the last row before, or the key's first value."""
         pdf = pdf.sort_values("part")
         parts, carry, state = [], [], None
-        for part, n, s, x0, first in zip(pdf["part"], pdf["n"], pdf["a"], pdf["x0"], pdf["first"], strict=True):
-            if state is not None and first:
+        for part, last, s, x0, least in zip(pdf["part"], pdf["last"], pdf["a"], pdf["x0"], pdf["least"], strict=True):
+            if least < 0:
+                # the very first value counts with its full weight
+                state = x0 if state is None else state
                 parts.append(part)
                 carry.append(state)
-            # the very first value counts with its full weight
-            state = s + (1 - a) ** n * (x0 if state is None else state)
+                state = s + (1 - a) ** (last - FIRST + 1) * state
+            else:
+                state = s
         return pd.DataFrame({"part": np.array(parts, np.int32), "carry": np.array(carry, float)})
 
     return chain
-
-
-def _averages(batches: Iterator[pa.RecordBatch], a: float, names: list[str]) -> Iterator[pa.RecordBatch]:
-    before: tuple[object, int, float] | None = None  # key, partition and average of the last row
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, part, x = batch.column("k").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("v0").to_numpy()
-        held = batch.column("carry").to_numpy(zero_copy_only=False).astype(float)
-        out = np.empty(len(x))
-        cut = _runs(k, part)
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if before is not None and before[1] == part[lo]:
-                start = before[2] if before[0] == k[lo] else None
-            else:
-                start = held[lo]
-            out[lo:hi] = _ema(x[lo:hi], a, start)
-            before = (k[hi - 1], part[hi - 1], out[hi - 1])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["k", *names, "v0"]), pa.array(out)], names=["k", *names, "v0", "ema"])

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Estimated bytes of a range partition, and the most partitions of one shuffle.
+PARTITION_BYTES, MAX_PARTITIONS = 128 << 20, 100_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
@@ -21,21 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str = "table", whole_files: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", group_rows: int | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: survives lost executors, cuts lineage.
 
-    With ``whole_files`` each partition is written as one row group, which one task reads in the order written. The
-    table is removed when the driver's JVM ends.
+    ``group_rows`` are the rows of a row group at most, the unit in which the table is read. The table is removed when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("parquet.block.size", str(2**31 - 1)) if whole_files else df.write
+    writer = df.write.option("parquet.block.row.count.limit", str(group_rows)) if group_rows else df.write
     writer.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, named: int | None = None) -> int:
+    """Partitions of a shuffle of df: as many as the session has, more where the planner's estimate of its bytes asks for it."""
+    if named:
+        return named
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # the estimate of an input without statistics is without bound
+    wanted = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_PARTITIONS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
