@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +88,17 @@ def test_neighbours(bits, leaves, queries):
         mine = [v for v in a.tolist() if v >> bits == x >> bits]
         assert (a[b] if b >= 0 else None) == max((v for v in mine if v <= x), default=None)
         assert (a[f] if f >= 0 else None) == min((v for v in mine if v >= x), default=None)
+
+
+@pytest.mark.parametrize(("bits", "batch"), [(22, 200_000), (3, 200_000), (5, 9)])
+def test_tolerances_over_many_subtrees(spark, monkeypatch, bits, batch):
+    """An entity's neighbours are found over empty subtrees, whatever the tolerance."""
+    monkeypatch.setattr(nearest, "MAX_BITS", bits)
+    monkeypatch.setattr(nearest, "STRETCH_BITS", 4)
+    monkeypatch.setattr(nearest, "BATCH_ROWS", batch)
+    rng = random.Random(bits)
+    start, span = dt.datetime(2024, 3, 4), 20_000 if bits < 22 else 3 * 86_400_000_000
+    left, right = make(rng, 200, start, span), make(rng, 60, start, span)
+    for tolerance in (span // 50, 86_400_000_000):
+        got = [tuple(r) for r in run(spark, left, right, tolerance, partitions=3).collect()]
+        assert set(got) == brute(left, right, tolerance) and len(got) == len(set(got))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm.packing import Packer, hilbert_keys, pack
+from tickloom.llm.packing import Packer, hilbert_keys, normal_share, pack
 from tickloom.llm.tokens import BYTE_BPE_50K, encoder
 
 
@@ -21,12 +21,14 @@ def test_the_curve_visits_every_cell_by_single_steps():
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 50), max_size=40), max_size=6), st.integers(0, 5))
-def test_no_container_overflows(windows, keep):
-    packer, load = Packer(50, keep), {}
+@given(st.lists(st.lists(st.integers(1, 50), max_size=40), max_size=6), st.integers(0, 90))
+def test_no_container_overflows(windows, reach):
+    packer, load, born, seen = Packer(50, reach), {}, {}, 0
     for sizes in windows:
-        for size, box in zip(sizes, packer.place(np.array(sizes, np.int64)).tolist(), strict=True):
+        for size, box in zip(sizes, packer.place(sizes, len(sizes)), strict=True):
             load[box] = load.get(box, 0) + size
+            assert seen - born.setdefault(box, seen) < max(1, reach)  # closed by then
+        seen += len(sizes)
     assert all(x <= 50 for x in load.values())
     assert len(load) == packer.made
 
@@ -57,3 +59,25 @@ def test_documents(spark):
     assert max(load.values()) <= 128
     assert sum(load.values()) >= 0.98 * 128 * (len(load) - 3)
     assert pack(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_neighbours_share_containers(spark):
+    """Documents of one subject meet far more often than in random order, and containers are full all the same."""
+    rng = random.Random(5)
+    subjects = [[f"{a}{b}" for b in ("one", "two", "red", "blue", "belt", "gear", "fish", "stone")] for a in ("ka", "mi", "to", "re", "su", "ne", "po", "da")]
+    subject = [rng.randrange(8) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(subjects[s], k=rng.randrange(2, 60)))) for i, s in enumerate(subject)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    boxes = {}
+    for r in pack(df, "doc_id", "text", capacity=512, partitions=1).where("container is not null").collect():
+        boxes.setdefault(r["container"], []).append((subject[r["doc_id"]], r["n_tokens"]))
+    pairs = [(a[0], b[0]) for items in boxes.values() for i, a in enumerate(items) for b in items[:i]]
+    assert sum(a == b for a, b in pairs) > 0.5 * len(pairs)  # 0.125 in random order
+    assert sum(n for items in boxes.values() for _, n in items) >= 0.99 * 512 * len(boxes)
+
+
+def test_share_of_the_normal_distribution():
+    z = np.linspace(-6, 6, 2001)
+    from math import erf
+
+    assert np.abs(normal_share(z) - [0.5 * (1 + erf(x / 2**0.5)) for x in z]).max() < 2e-7

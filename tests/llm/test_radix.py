@@ -84,3 +84,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert radix.percentiles(df, ["g", "h"], "x", [50]).count() == 0
     assert radix.percentiles_of(radix.histogram(df, ["g"], "x"), ["g"], [50]).count() == 0
+
+
+def test_a_million_values_share_their_leading_bits(spark):
+    df = spark.range(1_000_000).selectExpr("1 as g", "cast(1000 + id * 1e-10 as double) as x")
+    (row,) = radix.percentiles(df, ["g"], "x", [50, 95]).collect()
+    want = sorted({1000 + i * 1e-10 for i in (499_999, 949_999)})
+    assert (row["n"], [row["p50"], row["p95"]]) == (1_000_000, want)
+    assert max(radix.DIGIT_BITS) <= 16

@@ -1,7 +1,7 @@
 """Pairs each record with the nearest one in time of the same entity, by x-fast tries over timestamp bits.
 
 The upper bits of a timestamp, hashed with the entity, are the distributed level of the trie: they choose the
-task and the subtree in which a record lies. Below, a subtree's levels are hash tables of bit prefixes, one per prefix
+task and the subtree in which a record lies; neighbours beyond a subtree's edges are carried into it by a scan where the tolerance asks for it. Below, a subtree's levels are hash tables of bit prefixes, one per prefix
 length, each prefix holding the least and the greatest leaf under it. A query binary-searches the length of the longest
 prefix it shares with any leaf; the branch it takes next is empty, so the leaf on the other branch's near side is its
 predecessor or successor, and leaves are linked to their neighbours. All queries of a batch of subtrees go through the
@@ -15,13 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.time import micros
 
 #: Rows gathered before a batch of whole subtrees is searched.
 BATCH_ROWS = 200_000
+#: Bits of a subtree at most, so that a busy entity is spread over many of them whatever the tolerance: four seconds.
+MAX_BITS = 22
+#: Subtrees of a stretch, within which and across which neighbours are carried: 2 to this power.
+STRETCH_BITS = 10
+#: What a row is: the last leaf before its subtree, the first one behind it, a leaf of it, a query.
+PRIOR, NEXT, LEAF, QUERY = -2, -1, 0, 1
 
 
 class XFastTries:
@@ -96,11 +102,11 @@ def _subtrees(batches: Iterator[pa.RecordBatch], bits: int, tolerance: int, sche
         ends = np.flatnonzero((e[1:] != e[:-1]) | (b[1:] != b[:-1]))
         last = int(ends[-1]) + 1 if len(ends) else 0
         # the last subtree's leaves are whole once a query of it was read; they stay for its further queries
-        whole = len(table) if side[-1] == 1 else last
+        whole = len(table) if side[-1] == QUERY else last
         if whole:
             yield from _search(table.slice(0, whole), bits, tolerance, schema)
         rest = table.slice(last)
-        rest = rest.filter(pa.array(side[last:] == 0)) if side[-1] == 1 else rest
+        rest = rest.filter(pa.array(side[last:] != QUERY)) if side[-1] == QUERY else rest
         held, rows = rest.combine_chunks().to_batches(), 0
     if held:
         yield from _search(pa.Table.from_batches(held).combine_chunks(), bits, tolerance, schema)
@@ -110,28 +116,58 @@ def _search(table: pa.Table, bits: int, tolerance: int, schema: pa.Schema) -> It
     e, block = table.column("entity").to_numpy(), table.column("block").to_numpy()
     us, side = table.column("us").to_numpy(), table.column("side").to_numpy()
     ids = table.column("id").fill_null(0).to_numpy()
-    tree = np.cumsum(np.concatenate([[0], (e[1:] != e[:-1]) | (block[1:] != block[:-1])]))
+    tree = np.cumsum(np.concatenate([[False], (e[1:] != e[:-1]) | (block[1:] != block[:-1])]))
     # a query may lie up to the tolerance outside its block: it is searched from the block's edge
     low = np.clip(us - (block << bits), 0, (1 << bits) - 1)
     at = (tree << bits) + low
-    leaf = np.flatnonzero(side == 0)
-    ask = np.flatnonzero(side == 1)
-    if not len(leaf) or not len(ask):
+    leaf, ask = np.flatnonzero(side == LEAF), np.flatnonzero(side == QUERY)
+    if not len(ask):
         return
     tries = XFastTries(at[leaf], bits)
-    before, after = tries.neighbours(at[ask])
-    t, inf = us[leaf], np.int64(1) << 62
-    d0 = np.where(before >= 0, np.abs(us[ask] - t[before]), inf)
-    d1 = np.where(after >= 0, np.abs(t[after] - us[ask]), inf)
-    pick = np.where(d0 <= d1, before, after)
-    gap = np.minimum(d0, d1)
+    # rows of the neighbours: from the query's subtree, else those carried into it
+    found = []
+    for kind, near in zip((PRIOR, NEXT), tries.neighbours(at[ask]), strict=True):
+        carried = np.full(tree[-1] + 1, -1)
+        carried[tree[side == kind]] = np.flatnonzero(side == kind)
+        found.append(np.where(near >= 0, leaf[near] if len(leaf) else -1, carried[tree[ask]]))
+    inf = np.int64(1) << 62
+    d0, d1 = (np.where(f >= 0, np.abs(us[f] - us[ask]), inf) for f in found)
+    pick, gap = np.where(d0 <= d1, *found), np.minimum(d0, d1)
     ok = np.flatnonzero(gap <= tolerance)
     if len(ok):
-        mine = leaf[pick[ok]]
+        mine = pick[ok]
         q = ask[ok]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e[q], us[q], ids[mine], us[mine], gap[ok])], schema=schema)
 
 
+def _carried(leaves: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each subtree with queries the last leaf before it and the first one behind it, by a scan over first and last leaves.
+
+    The scan runs within stretches of subtrees, then over the stretches' own first and last leaves, so that
+    an entity's subtrees never meet in one task.
+    """
+    leaf = F.struct("us", "id")
+    ends = leaves.groupBy("entity", "block").agg(F.min(leaf).alias("lo"), F.max(leaf).alias("hi"), F.lit(0).alias("q"))
+    need = asked.groupBy("entity", "block").agg(F.lit(1).alias("q"))
+    marks = ends.unionByName(need, allowMissingColumns=True).groupBy("entity", "block").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("q").alias("q"))
+    marks = marks.withColumn("stretch", F.shiftright("block", STRETCH_BITS))
+
+    def scanned(rows: DataFrame, by: list[str], along: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(along)
+        before, behind = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", F.max("hi").over(before).alias("prior"), F.min("lo").over(behind).alias("next"))
+
+    inner = scanned(marks, ["entity", "stretch"], "block")
+    outer = scanned(marks.groupBy("entity", "stretch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), ["entity"], "stretch")
+    outer = outer.select("entity", "stretch", F.col("prior").alias("prior_"), F.col("next").alias("next_"))
+    met = inner.where("q = 1").join(outer, ["entity", "stretch"])
+    sides = F.array(
+        F.struct(F.lit(PRIOR).alias("side"), F.coalesce("prior", "prior_").alias("leaf")), F.struct(F.lit(NEXT).alias("side"), F.coalesce("next", "next_").alias("leaf"))
+    )
+    told = met.select("entity", "block", F.explode(sides).alias("s")).where("s.leaf IS NOT NULL")
+    return told.select("entity", "block", "s.side", F.col("s.leaf.us").alias("us"), F.col("s.leaf.id").alias("id"))
+
+
 def nearest_in_time(
     left: DataFrame,
     right: DataFrame,
@@ -151,26 +187,31 @@ def nearest_in_time(
     ``_right`` if both have one name) and ``gap_us`` (right time minus left time). Empty tables give no rows; other columns are ignored.
 
     Right rows are first reduced to one per instant (combined before the shuffle) and left rows to their distinct instants,
-    so a subtree of 2**bits microseconds has at most that many leaves, however many rows it stands for.
+    so a subtree of 2**bits microseconds has at most that many leaves, however many rows it stands for. A query whose tolerance
+    reaches over its subtree's edge is searched in the neighbouring one too; where it reaches further (tolerances of more than
+    two seconds), every subtree is given the last leaf before it and the first one behind it.
     """
     if tolerance_us < 0:
         raise ValueError("tolerance_us must not be negative")
-    bits = max(1, (2 * tolerance_us).bit_length())
+    bits = min(MAX_BITS, max(1, (2 * tolerance_us).bit_length()))
+    far = 2 * tolerance_us >> bits > 0
 
     def usable(df: DataFrame, row_id: str) -> DataFrame:
         ok = F.col(entity).isNotNull() & F.col(ts).isNotNull() & F.col(row_id).isNotNull()
         return df.where(ok).select(F.col(entity).cast("bigint").alias("entity"), micros(F.col(ts)).alias("us"), F.col(row_id).cast("bigint").alias("id"))
 
     leaves = usable(right, right_id).groupBy("entity", "us").agg(F.min("id").alias("id"))
-    leaves = leaves.select("entity", F.shiftright("us", bits).alias("block"), F.lit(0).alias("side"), "us", "id")
+    leaves = leaves.select("entity", F.shiftright("us", bits).alias("block"), F.lit(LEAF).alias("side"), "us", "id")
     mine = usable(left, left_id).distinct()
     lo, hi = F.shiftright(F.col("us") - tolerance_us, bits), F.shiftright(F.col("us") + tolerance_us, bits)
-    asked = mine.select("entity", "us").distinct().select(
-        "entity", F.explode(F.array_distinct(F.array(lo, F.shiftright("us", bits), hi))).alias("block"), F.lit(1).alias("side"), "us",
-        F.lit(None).cast("bigint").alias("id"),
-    )
+    own = F.shiftright("us", bits)
+    blocks = own if far else F.explode(F.array_distinct(F.array(lo, own, hi)))
+    asked = mine.select("entity", "us").distinct().select("entity", blocks.alias("block"), F.lit(QUERY).alias("side"), "us", F.lit(None).cast("bigint").alias("id"))
     n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = leaves.unionByName(asked).repartition(n, "entity", "block").sortWithinPartitions("entity", "block", "side", "us")
+    rows = leaves.unionByName(asked)
+    if far:
+        rows = rows.unionByName(_carried(leaves, asked))
+    rows = rows.repartition(n, "entity", "block").sortWithinPartitions("entity", "block", "side", "us")
     names = ["entity", "us", "right_id", "right_us", "gap"]
     schema = pa.schema([(c, pa.int64()) for c in names])
     near = rows.mapInArrow(lambda it: _subtrees(it, bits, tolerance_us, schema), ", ".join(f"{c} bigint" for c in names))

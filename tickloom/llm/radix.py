@@ -3,7 +3,8 @@
 A floating value is mapped to an order-preserving integer (the bits of its magnitude, negated for negative
 values), computed inside generated code. Per group a histogram of the leading 16 bits (sign, exponent and the first
 mantissa bits) is built with map-side combining; it tells the digit that holds each target rank. Only values with that
-digit are followed: the next 16 bits are counted among them, and then the last 32.
+digit are followed: the next 16 bits are counted among them, and so on to the last, so that no histogram has more than
+2**16 bins for each digit followed.
 
 Histograms of the leading bits of separate partitions, days or files add up, which makes them mergeable
 summaries: see histogram, merge and percentiles_of.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tickloom.storage import materialize
 
-#: Bits of the digits, from the most significant. So few values share the first two that the rest is one digit.
-DIGIT_BITS = (16, 16, 32)
+#: Bits of the digits, from the most significant: a histogram, ranked in one task for each digit followed, has 2 to this power bins.
+DIGIT_BITS = (16, 16, 16, 16)
 #: Ranks to be followed are broadcast up to this many groups; beyond it they are joined by shuffle.
 MAX_BROADCAST_GROUPS = 100_000
 
