@@ -1,11 +1,13 @@
 """Scores of texts for abusive, hateful and sexually explicit content.
 
 Words are folded (look-alike letters, accents, hidden characters, letters set apart or repeated) and looked up in a
-trie of listed words. A word that isn't listed becomes a Levenshtein automaton (transpositions count once,
-masked letters match any, signs the letters they stand for), which is intersected with the trie to find the listed word it
-misspells. Sentences of corrected words are then scored in context windows: an insult counts where it is aimed at
-somebody, not at oneself or a thing, a degrading term where it is said of a group. A term that is quoted (in quotation marks) or
-reported (after a verb of saying) near a word of moderation counts less, unless the sentence itself addresses somebody.
+trie of listed words: a general lexicon, and the words that reviewers' marks were found to go with (``learned``). A word that isn't
+listed becomes a Levenshtein automaton (transpositions count once, masked letters match any, signs the letters they stand for),
+which is intersected with the trie to find the listed word it misspells. Sentences of corrected words are then scored as context
+windows, by the parts that listed words play (an insult counts where it is aimed at somebody, not at oneself or a thing, a
+degrading term where it is said of a group, violence where somebody is its object) and by learned weights of words and pairs. A term that
+is quoted (in quotation marks) or reported (after a verb of saying) near a word of moderation counts less, unless the sentence itself
+addresses somebody.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import lexicon as L
-from tickloom.storage import materialize
+from tickloom.llm.learned import END, START, Weights, learn
 
 THRESHOLD = 0.5
-INSULT, THREAT, HATE, SEXUAL = "insult", "threat", "hate", "sexual"
+INSULT, THREAT, HATE, SEXUAL, LEARNED = "insult", "threat", "hate", "sexual", "learned"
+#: ``learned`` is the score by learned weights, the others are those of the general lexicon.
+KINDS = (INSULT, THREAT, HATE, SEXUAL, LEARNED)
 #: Words on either side of a term that are its context.
 WINDOW = 6
 CACHED_WORDS = 200_000
@@ -38,6 +43,11 @@ MASKED = "\0"
 FUZZY, LONG = 5, 9
 
 
+NUMBER = "#"
+#: Parts that make a word worth looking at, as each begins a rule.
+TELLING = frozenset("insult sexual dehuman violence harm suffer eradicate despise sexact adjective dwelling".split())
+
+
 class Automaton:
     """Levenshtein automaton of a word: per number of errors the bits of reachable positions."""
 
@@ -72,19 +82,32 @@ class Automaton:
         return next((e for e, bits in enumerate(state[0]) if bits >> self.size & 1), None)
 
 
+class Word(NamedTuple):
+    """What is known of a word: the listed one it is or misspells, its parts, and what was learned of it."""
+
+    word: str
+    parts: frozenset[str]
+    feature: str
+    weight: float | None
+    pairs: dict[str, float] | None
+    telling: bool
+
+
 class Lexicon:
-    """Listed words with their parts, as tries; common words that resemble them stand for themselves."""
+    """Listed words with their parts, as tries; common words that resemble them stand for themselves.
+
+    The words that ``weights`` were learned for are listed too, without a part.
+    """
 
-    def __init__(self, common: str = L.COMMON) -> None:
+    def __init__(self, weights: Weights | None = None) -> None:
+        self.weights = weights
         found: dict[str, set[str]] = {}
         for part, words in L.WORDS.items():
             for w in words.split():
                 found.setdefault(w, set()).add(part)
-        for w in L.HARMLESS.split():
+        idioms = {" ".join(x.split()): kind for kind, block in L.IDIOMS.items() for x in block.split(",")}
+        for w in [*L.HARMLESS.split(), *(w for x in idioms for w in x.split() if len(w) > 2), *(weights.terms if weights else ())]:
             found.setdefault(w, set())
-        for block in (L.INSULTING, L.THREATENING, L.DEMEANING, L.EXPLICIT):
-            for w in regex.findall(r"[a-z]{2,}", regex.sub(r"\(\?[:!]|\\\w", " ", block)):
-                found.setdefault(w, set())
         self.parts = {w: frozenset(p) for w, p in found.items()}
         # one trie for each length: a word is looked for among those that differ in length by its errors at most
         self.tries: dict[int, dict] = {}
@@ -93,9 +116,16 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.cache: dict[str, tuple[str, frozenset[str]]] = {}
-        self.common = frozenset(common.split())
+        self.cache: dict[str, Word] = {}
+        self.common = frozenset(L.COMMON.split()) | (weights.known if weights else frozenset())
         self.longest = max(map(len, self.parts))
+        self.idioms = ahocorasick.Automaton()
+        for x, kind in idioms.items():
+            self.idioms.add_word(f" {x} ", (kind, x))
+        for kind, stems in L.KOREAN.items():
+            for x in stems.split():
+                self.idioms.add_word(x, (kind, x))
+        self.idioms.make_automaton()
 
     def nearest(self, letters: list[str], errors: int) -> str | None:
         """The listed word at the least distance; a harmless one, then the first by alphabet, among equals.
@@ -120,16 +150,19 @@ class Lexicon:
                     stack.append((child, then))
         return best and best[2]
 
-    def look(self, token: str) -> tuple[str, frozenset[str]]:
+    def look(self, token: str) -> Word:
         """The listed word that the token is, or misspells, with its parts; else the token itself, without any."""
         word = token if token in self.parts or token in self.common else self._correct(token)
         if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
-        self.cache[token] = hit = (word, self.parts.get(word, frozenset()))
+        parts, learned = self.parts.get(word, frozenset()), self.weights or Weights()
+        feature = word if word.isalpha() else NUMBER
+        telling = word == MASKED or not parts.isdisjoint(TELLING)
+        self.cache[token] = hit = Word(word, parts, feature, learned.words.get(feature), learned.pairs.get(feature), telling)
         return hit
 
     def correct(self, token: str) -> str:
-        return (self.cache.get(token) or self.look(token))[0]
+        return (self.cache.get(token) or self.look(token)).word
 
     def _correct(self, token: str) -> str:
         n = len(token)
@@ -181,78 +214,10 @@ SINGLE = re.compile(r"(?<![\w'])['‘’](?=\w)([^'‘’\n]*(?:(?<=\w)['’](?=
 QUOTED = re.compile(r'"[^"\n]*"')
 
 
-@lru_cache(maxsize=2)
-def _lexicon(common: str = L.COMMON) -> Lexicon:
-    """The worker's lexicon."""
-    return Lexicon(common)
-
-
-class Phrases:
-    """Phrase patterns, of which only those run on a line that could match it.
-
-    What a line must hold for a pattern to match - its longest text outside groups, or else one of the texts of a
-    group that can't be left out - is looked for by an Aho-Corasick automaton over all patterns.
-    """
-
-    def __init__(self, blocks: tuple[tuple[str, str], ...]) -> None:
-        self.automaton = ahocorasick.Automaton()
-        by_text: dict[str, list[tuple[str, regex.Pattern]]] = {}
-        for kind, block in blocks:
-            for phrase in map(str.strip, block.strip().splitlines()):
-                for text in _needed(phrase):
-                    by_text.setdefault(text, []).append((kind, regex.compile(rf"(?<!\S)(?:{phrase})")))
-        for text, entries in by_text.items():
-            self.automaton.add_word(text, entries)
-        self.automaton.make_automaton()
-        self.iter = self.automaton.iter
-
-    def spans(self, line: str) -> set[tuple[str, int, int]]:
-        """Kinds of all phrases that the line holds, with their first word and the one behind their last."""
-        entries = {id(pattern): (kind, pattern) for _, hits in self.iter(line) for kind, pattern in hits}
-        matches = [(kind, m) for kind, pattern in entries.values() for m in pattern.finditer(line)]
-        return {(kind, line.count(" ", 0, m.start()), line.count(" ", 0, len(line[: m.end()].rstrip())) + 1) for kind, m in matches}
-
-    def kinds(self, line: str) -> set[str]:
-        """Kinds of the phrases that the line holds."""
-        found: set[str] = set()
-        for _, entries in self.iter(line):
-            for kind, pattern in entries:
-                if kind not in found and pattern.search(line):
-                    found.add(kind)
-        return found
-
-
-def _longest_text(pattern: str) -> str:
-    """The longest run of plain characters in a pattern without groups."""
-    return max((t.strip() for t in re.split(r"\{[^}]*\}|\\.|.\?|[.+*|^$]", pattern)), key=len)
-
-
-def _needed(pattern: str) -> list[str]:
-    """Texts of which every match holds at least one."""
-    outside, groups, depth, start = "", [], 0, 0
-    for k, c in enumerate(pattern):
-        if c == "(":
-            start = k if not depth else start
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if not depth:
-                outside += "|"
-                optional = pattern[k + 1 : k + 2] in ("?", "*", "{")
-                body = pattern[start + 3 : k]
-                if not optional and "(" not in body and pattern[start : start + 3] == "(?:":
-                    groups.append([_longest_text(a) for a in body.split("|")])
-        elif not depth and not (c in "?*+" and pattern[k - 1] == ")"):
-            outside += c
-    if len(text := _longest_text(outside)) >= 4 or not groups:
-        return [text]
-    best = max(groups, key=lambda g: min(map(len, g)))
-    return best if min(map(len, best)) > len(text) else [text]
-
-
 @lru_cache(maxsize=1)
-def _phrases() -> Phrases:
-    return Phrases(((INSULT, L.INSULTING), (THREAT, L.THREATENING), (HATE, L.DEMEANING), (SEXUAL, L.EXPLICIT)))
+def _lexicon() -> Lexicon:
+    """The worker's general lexicon."""
+    return Lexicon()
 
 
 def _repaired(line: str) -> str:
@@ -289,23 +254,24 @@ def _listed(word: str, parts: dict[str, frozenset[str]]) -> list[str] | None:
     return reach[0]
 
 
-def _together(m: re.Match) -> str:
+def _together(lex: Lexicon, m: re.Match) -> str:
     """Letters set apart, put together, and cut into the listed words that they make up."""
     word = regex.sub(r"[\W_]", "", m.group())
-    cut = _listed(word, _lexicon().parts)
+    cut = _listed(word, lex.parts)
     return " ".join(cut) if cut else word if len(word) > 3 else m.group()
 
 
-def sentences(text: str) -> Iterator[tuple[list[str], dict[int, int]]]:
+def sentences(text: str, lex: Lexicon | None = None) -> Iterator[tuple[list[str], dict[int, int]]]:
     """The folded words of each sentence or line, and of those in quotation marks the number of their quotation.
 
     Quotations are looked for only in texts with a word of moderation; no other text needs them.
     """
+    joined = partial(_together, lex or _lexicon())
     folded = fold(text)
     if any(w in folded for w in MENTIONED):
-        yield from _quoting(APART.sub(_together, plain(SINGLE.sub(r'"\1"', folded.translate(QUOTES)))))
+        yield from _quoting(APART.sub(joined, plain(SINGLE.sub(r'"\1"', folded.translate(QUOTES)))))
         return
-    for s in ENDS.split(APART.sub(_together, plain(folded))):
+    for s in ENDS.split(APART.sub(joined, plain(folded))):
         if tokens := TOKENS(s):
             yield tokens, {}
 
@@ -354,71 +320,138 @@ def _told(first: int, end: int, tokens: list[str], words: list[str], quoted: dic
     )
 
 
-def score_sentence(tokens: list[str], lex: Lexicon | None = None, near: set[str] | None = None, quoted: dict[int, int] | None = None) -> dict[str, float]:
-    """Scores from 0 to 1 by kind. ``near`` takes the words that were corrected without a sign or mask in them.
-
-    ``quoted`` are the positions in quotation marks, as from ``sentences``.
-    """
+NEGATED = frozenset("not never no wont dont cant cannot nicht nie kein keine pas jamais nunca".split())
+PERSONAL = frozenset("you u dich dir euch te ti toi vous".split())
+KNOWING, WHERE = frozenset("know weiss wissen se sabemos sais savons".split()), frozenset("where wo donde ou".split())
+#: Before the object of what is done, not suffered.
+OBJECT = frozenset("the a an this that these those it them all your our my".split())
+HOPING = frozenset("hope wish hoffe hoffentlich ojala espero jespere souhaite".split())
+
+
+def _near(parts: list[frozenset[str]], part: str, lo: int, hi: int) -> int | None:
+    """The first word from ``lo`` to before ``hi`` that plays a part."""
+    return next((k for k in range(max(0, lo), min(len(parts), hi)) if part in parts[k]), None)
+
+
+def _insulted(i: int, words: list[str], parts: list[frozenset[str]], near: list[frozenset[str]]) -> float:
+    if words[i] == MASKED:
+        return 0.5
+    before, after = words[max(0, i - 4) : i], words[i + 1 : i + 3]
+    aimed = any("you" in x for x in near)
+    if not aimed and any(w in ("i", "im", "ich", "yo", "soy", "je", "suis", "bin") for w in before) or after[:1] == ["proof"]:
+        return 0.0
+    if aimed or after[:1] in (["like"], ["wie"], ["como"], ["comme"]):
+        return 0.8
+    scorned = i > 0 and "adjective" in parts[i - 1]
+    named = len(before) > 1 and (before[-1] in ("a", "an", "ein", "un", "so") or scorned) and any(w in ("is", "ist", "es", "est") for w in before)
+    return 0.7 if scorned or named else 0.2
+
+
+def _threatened(i: int, words: list[str], parts: list[frozenset[str]]) -> tuple[float, int, int] | None:
+    """Whether somebody is the object of the violence or harm at ``i``: score, first word and end."""
+    lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+    body = _near(parts, "body", i - 4, i + 5)
+    owned = body is not None and any("you" in parts[k] for k in range(max(0, i - 4), hi))
+    target = any(0 <= k < len(words) and words[k] in PERSONAL for k in (i + 1, i + 2, i - 1, i - 2, i - 3))
+    if not owned and not (target and "violence" in parts[i]):
+        return None
+    actor, modal = _near(parts, "first", lo, i), _near(parts, "modal", lo, i)
+    if any(words[k] in NEGATED for k in range(lo, i)) or actor is None and modal is None:
+        return None
+    return (0.9 if actor is not None and modal is not None else 0.6 if actor is not None or owned else 0.4), lo, hi
+
+
+def _wished(i: int, words: list[str], parts: list[frozenset[str]]) -> bool:
+    """Whether somebody addressed is told to suffer, or wished it."""
+    before = range(max(0, i - 5), i)
+    if any(words[k] in NEGATED for k in before) or not any("you" in parts[k] for k in before) or words[i + 1 : i + 2] and words[i + 1] in OBJECT:
+        return False
+    return any("modal" in parts[k] or words[k] in HOPING for k in before)
+
+
+def _cleansed(i: int, tokens: list[str], words: list[str], parts: list[frozenset[str]]) -> bool:
+    """Whether several, no things or animals, are said to deserve what is at ``i``."""
+    k = next((k for k in range(i - 1, max(-1, i - 5), -1) if words[k] in ("should", "must", "ought", "need", "deserve", "sollten", "mussen", "gehoren", "deberian", "deben", "devraient", "doivent")), None)
+    return k is not None and k > 0 and not any(w in NEGATED for w in words[k:i]) and NO_GROUP.isdisjoint((tokens[k - 1], words[k - 1])) and tokens[k - 1].isalpha()
+
+
+def _learned(known: list[Word], weights: Weights) -> float:
+    """The score of a window by learned weights; 0 if nothing in it was learned."""
+    found: dict[str | tuple[str, str], float] = {w.feature: w.weight for w in known if w.weight is not None}
+    pairs, before = weights.pairs.get(START), START
+    for w in known:
+        if pairs and (x := pairs.get(w.feature)) is not None:
+            found[before, w.feature] = x
+        pairs, before = w.pairs, w.feature
+    if pairs and (x := pairs.get(END)) is not None:
+        found[before, END] = x
+    return weights.probability(sum(found.values())) if found else 0.0
+
+
+def score_sentence(tokens: list[str], lex: Lexicon | None = None, quoted: dict[int, int] | None = None) -> dict[str, float]:
+    """Scores from 0 to 1 by kind. ``quoted`` are the positions in quotation marks, as from ``sentences``."""
     lex = lex or _lexicon()
     cached, look = lex.cache.get, lex.look
     known = [cached(t) or look(t) for t in tokens]
-    words = [w for w, _ in known]
-    if near is not None and words != tokens:
-        near.update(t for t, w in zip(tokens, words, strict=True) if t != w and t.isalpha())
-    line = " ".join(words)
+    words = [w.word for w in known]
     scores: dict[str, float] = {}
-
     moderated = not MENTION.isdisjoint(tokens)
 
     def tell(kind: str, score: float, first: int, end: int) -> None:
         if moderated and _told(first, end, tokens, words, quoted or {}):
             score *= 0.4
-        scores[kind] = max(scores.get(kind, 0.0), score)
-
-    if moderated:
-        for kind, first, end in _phrases().spans(line):
-            tell(kind, 0.9, first, end)
-    else:
-        scores = dict.fromkeys(_phrases().kinds(line), 0.9)
-    hot = [p for _, p in known if p]
-    if not hot and MASKED not in words:
+        if score > scores.get(kind, 0.0):
+            scores[kind] = score
+
+    if lex.weights:
+        said = [w for k, w in enumerate(known) if not _told(k, k + 1, tokens, words, quoted or {})] if moderated else known
+        if p := _learned(said, lex.weights):
+            scores[LEARNED] = p
+    line = f" {' '.join(words)} "
+    for end, (kind, idiom) in lex.idioms.iter(line):
+        stop = line.count(" ", 0, end)
+        tell(kind, 0.9, max(0, stop - idiom.count(" ") - 1), stop)
+    if not any([w.telling for w in known]):
         return scores
-    kinds = set().union(*hot)
-    parts = [p for _, p in known]
-    masked = MASKED in words
-    if kinds & {"insult", "sexual", "dehuman"} or masked:
-        for i, p in enumerate(parts):
-            lo, hi = max(0, i - WINDOW), i + WINDOW + 1
-            near = [x for k, x in enumerate(parts[lo:hi], lo) if k != i]
-            if "insult" in p or words[i] == MASKED:
-                before = words[max(0, i - 4) : i]
-                after = words[i + 1 : i + 3]
-                own = any(w in ("i", "im", "ich", "yo", "soy", "je", "suis", "bin") for w in before) and not any("you" in x for x in near)
-                thing = after[:1] == ["proof"]
-                aimed = any("you" in x for x in near)
-                scorned = i > 0 and "adjective" in parts[i - 1]
-                named = len(before) > 1 and (before[-1] in ("a", "an", "ein", "un", "so") or scorned) and any(w in ("is", "ist", "es", "est") for w in before)
-                like = after[:1] in (["like"], ["wie"], ["como"], ["comme"])
-                if words[i] == MASKED:
-                    tell(INSULT, 0.5, i, i + 1)
-                elif not own and not thing:
-                    tell(INSULT, 0.8 if aimed or like else 0.7 if scorned or named else 0.2, i, i + 1)
-            if "sexual" in p:
-                others = sum("sexual" in x for x in near)
-                tell(SEXUAL, 0.9 if others else 0.75 if any("you" in x for x in near) or {"i", "my", "me", "she", "he"} & set(words[lo:hi]) else 0.4, i, i + 1)
-            if "dehuman" in p and (any("group" in x and x != p for x in near) or _predicated(i, tokens, words, parts)):
-                tell(HATE, 0.8, i, i + 1)
+    parts = [w.parts for w in known]
+    for i, p in enumerate(parts):
+        if not known[i].telling:
+            continue
+        lo, hi = max(0, i - WINDOW), i + WINDOW + 1
+        near = [x for k, x in enumerate(parts[lo:hi], lo) if k != i]
+        if "insult" in p or words[i] == MASKED:
+            tell(INSULT, _insulted(i, words, parts, near), i, i + 1)
+        if "sexual" in p:
+            others = sum("sexual" in x for x in near)
+            tell(SEXUAL, 0.9 if others else 0.75 if any("you" in x for x in near) or {"i", "my", "me", "she", "he"} & set(words[lo:hi]) else 0.4, i, i + 1)
+        if "sexact" in p and _near(parts, "sexpart", i + 1, i + 5) is not None:
+            tell(SEXUAL, 0.9, i, i + 1)
+        if "dehuman" in p and (any("group" in x and x != p for x in near) or _predicated(i, tokens, words, parts)):
+            tell(HATE, 0.8, i, i + 1)
+        if "dehuman" in p and i and "adjective" in parts[i - 1] and {"they", "them", "you"} & set(words):
+            tell(HATE, 0.7, i - 1, i + 1)
+        if "dwelling" in p and KNOWING & set(words[lo:i]) and WHERE & set(words[lo:i]) and _near(parts, "you", lo, i) is not None and (actor := _near(parts, "first", lo, i)) is not None:
+            tell(THREAT, 0.8, actor, i + 1)
+        if "eradicate" in p and _cleansed(i, tokens, words, parts):
+            tell(HATE, 0.8, i, i + 1)
+        if "despise" in p and _near(parts, "group", i + 1, i + 4) is not None and NEGATED.isdisjoint(words[max(0, i - 3) : i]):
+            tell(HATE, 0.7, i, i + 1)
+        if p & {"violence", "harm"} and (found := _threatened(i, words, parts)):
+            tell(THREAT, *found)
+        if "suffer" in p and _wished(i, words, parts):
+            tell(THREAT, 0.8, i, i + 1)
+    kinds = set().union(*parts)
     if "group" in kinds and "adjective" in kinds and {"they", "sie", "son", "sont", "all"} & set(words):
         said = [i for i, p in enumerate(parts) if p & {"group", "adjective"}]
         tell(HATE, 0.6, said[0], said[-1] + 1)
     return scores
 
 
-def score_text(text: str | None, lex: Lexicon | None = None, near: set[str] | None = None) -> dict[str, float]:
+def score_text(text: str | None, lex: Lexicon | None = None) -> dict[str, float]:
     """The greatest score of any sentence, by kind."""
-    out = dict.fromkeys((INSULT, THREAT, HATE, SEXUAL), 0.0)
-    for tokens, quoted in sentences(text or ""):
-        for kind, score in score_sentence(tokens, lex, near, quoted).items():
+    out = dict.fromkeys(KINDS, 0.0)
+    for tokens, quoted in sentences(text or "", lex):
+        for kind, score in score_sentence(tokens, lex, quoted).items():
             out[kind] = max(out[kind], score)
     return out
 
@@ -429,46 +462,29 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
         yield "" if raw is None else raw.decode("utf-8", "replace")
 
 
-KINDS = (INSULT, THREAT, HATE, SEXUAL)
-
+def windows(text: str) -> Iterator[list[str]]:
+    """The words of each window, corrected by the general lexicon, as they are learned."""
+    lex = _lexicon()
+    for tokens, _ in sentences(text):
+        yield [w if w.isalpha() else NUMBER for w in map(lex.correct, tokens)]
 
-def established_words(df: DataFrame, text: str, share: float = 0.001, least: int = 20) -> frozenset[str]:
-    """Words close to a listed one that are frequent, from all texts: candidates for ``lexicon.COMMON``, to be read first.
-
-    Scores don't depend on them, as a frequent word may well be a common way to disguise a listed one. A word counts once for
-    each different text and comes out from ``share`` of the different texts, at least ``least`` of them; common words count too.
-    """
-    rows = df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("near", T.ArrayType(T.StringType()))])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon("")
-        for batch in batches:
-            nears = []
-            for t in _texts(batch, "t"):
-                score_text(t, lex, near := set())
-                nears.append(sorted(near))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(nears, pa.list_(pa.string()))], names=["h", "near"])
 
-    first = rows.where(F.col("t").isNotNull()).mapInArrow(judge, out)
-    words = first.select("h", F.explode(F.concat(F.array(F.lit("")), "near")).alias("w"))
-    counts = materialize(words.groupBy("w").agg(F.approx_count_distinct("h", 0.02).alias("n")), "near-words")
-    total = counts.where("w = ''").select("n").collect()
-    floor = max(least, share * total[0]["n"]) if total else least
-    return frozenset(r["w"] for r in counts.where((F.col("w") != "") & (F.col("n") >= floor)).select("w").collect())
+def weights_of(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, mark: str, **options: int) -> Weights | None:
+    """Weights learned from reviewers' marks; see ``learned.learn`` for the bounds of the sample."""
+    return learn(documents, labels, doc_id, text, mark, windows, **options)
 
 
-def scores(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def scores(df: DataFrame, doc_id: str, text: str, weights: Weights | None = None) -> DataFrame:
     """Every row with ``score`` (0 to 1, the greatest of the kinds) and the scores by kind.
 
-    A text is judged by itself, whatever else the table holds. Null and empty texts score 0. One row per input
-    row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual.
+    A text is judged by itself and the given weights, whatever else the table holds. Null and empty texts score 0. One row per input
+    row, repeated rows too. Columns: doc_id, score, insult, threat, hate, sexual, learned (0 without weights).
     """
     rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon()
+        lex = Lexicon(weights)
         for batch in batches:
             told = [score_text(t, lex) for t in _texts(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([x[k] for x in told], pa.float64()) for k in KINDS)], names=["doc", *KINDS])
@@ -477,10 +493,10 @@ def scores(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return done.select(F.col("doc").alias(doc_id), F.greatest(*KINDS).alias("score"), *KINDS)
 
 
-def rates(df: DataFrame, doc_id: str, text: str, source: str, threshold: float = THRESHOLD) -> DataFrame:
+def rates(df: DataFrame, doc_id: str, text: str, source: str, weights: Weights | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per source (null is one of them) the documents, those at or above the threshold, and their share."""
     rows = df.select(F.struct(F.col(source).alias("source"), F.col(doc_id).alias("doc")).alias("d"), F.col(text).alias("t"))
-    judged = scores(rows, "d", "t")
+    judged = scores(rows, "d", "t", weights)
     hit = F.sum((F.col("score") >= threshold).cast("bigint"))
     return judged.groupBy(F.col("d.source").alias(source)).agg(
         F.count(F.lit(1)).alias("n_docs"), hit.alias("n_flagged"), (hit / F.count(F.lit(1))).alias("rate")

@@ -1,4 +1,4 @@
-"""Word lists and phrase patterns of the screening for abusive, hateful and sexual texts.
+"""Word lists of the screening for abusive, hateful and sexual texts: general terms, none of them taken from a table.
 
 All words are given in folded form: lower case, no accents, ss for sharp s.
 """
@@ -10,6 +10,9 @@ WORDS = {
         motherfucker prick cunt wanker twat whore slut pig scum trash dimwit halfwit fool coward freak
         trottel vollidiot idioten wichser versager drecksack arschloch penner schlampe hurensohn missgeburt blodmann dummkopf
         parasit cabron gilipollas imbecil idiota payaso parasito inutil estupido cretino perra puta pendejo
+        schwein mistkerl drecksau miststuck spast spasti blodian arschgeige schwachkopf schwachsinniger dreckskerl
+        tonto subnormal cerdo asqueroso maricon zorra cabrona mamon bobo estupida tarado
+        encule debile pouffiasse ducon tocard petasse crevure
         abruti connard connasse cretin salope salaud ordure batard pute bouffon""",
     "adjective": """spineless worthless pathetic useless filthy disgusting slimy brainless lazy dumb stupid ugly rotten miserable
         dummer dreckiger nutzloser erbarmlicher blode dumme elender fauler
@@ -27,6 +30,23 @@ WORDS = {
     "sexual": """blowjob handjob pussy cock cocks tits boobs nudes horny cum dildo porn orgasm
         nacktbilder nacktfotos geil titten ficken muschi schwanz follarte follar tetas cono desnuda polla
         baiser nichons bite chatte""",
+    "violence": """kill killing murder stab shoot strangle choke hurt beat punch slap smash burn hang rape butcher slaughter behead drown skin destroy cripple
+        toten umbringen erschiessen schlagen verprugeln erwurgen abstechen erstechen verbrennen zusammenschlagen matar matare pegar golpear apunalar quemar ahorcar
+        estrangular romper reventar tuer tuerai frapper etrangler poignarder bruler pendre egorger crever casser""",
+    "harm": """break cut crush rip slit bash snap gut knock brechen zerschlagen einschlagen partir rajar briser exploser""",
+    "body": """bones neck throat finger fingers face skull teeth kneecaps knees legs arms head jaw guts ribs nose knochen hals zahne fresse schadel finger
+        huesos cuello garganta cara dientes cabeza piernas os cou gorge dents tete jambes doigts""",
+    "suffer": """die bleed burn rot drown suffocate choke perish sterben verrecken verbluten bluten morir mueras morirte sangrar crever mourir creves""",
+    "first": """i we ill well someone somebody ich wir jemand yo nosotros alguien je nous quelquun voy vamos""",
+    "modal": """will gonna going should must shall want werde werden wurde will sollte voy vamos vais allons deberia va vas quiero veux""",
+    "eradicate": """exterminated gassed deported eradicated sterilized castrated lynched euthanized shot hanged vergast ausgerottet abgeschoben deportiert
+        exterminados gaseados deportados expulsados extermines gazes deportes expulses""",
+    "despise": """hate despise loathe hasse verachte odio desprecio deteste hais meprise""",
+    "sexact": """fuck fucking lick licking suck sucking spank grope fondle caress undress masturbate masturbating penetrate moan moaning lecken lutschen blasen
+        lamer chupar lecher sucer caresser""",
+    "sexpart": """ass dick cock tits boobs breasts nipples pussy crotch thighs butt panties penis vagina arsch schwanz titten muschi bruste culo polla tetas pezones bite chatte seins fesses""",
+    "dwelling": """live lives sleep park house home car kids family children wohnst wohnt schlafst parkst auto haus kinder familie
+        vives duermes aparcas casa coche hijos familia habites habitez dors gares maison voiture enfants famille""",
     "mention": """policy forbids forbidden moderation banned insulted harassment insult insults slur slurs verboten prohibido interdit""",
 }
 
@@ -95,138 +115,23 @@ COMMON = """able abort accidental acts addressed alles alone alter anker approac
     unrest unset used ustedes verhinderte very vote walker wasted werden whole winken wired wiring wischer witch woken womens word worked workers
     world worst would wrapper written"""
 
-# Phrases over folded, corrected words; each stands for an insult or a threat on its own.
-INSULTING = r"""
- (?:go )?fuck (?:off|you|yourself|u)\b
- piece o ?f shit
- waste o ?f (?:oxygen|space|air|skin)
- shut (?:up )?(?:your|the fuck) (?:mouth|trap|up|face)
- crawl back (?:in ?to|under)
- nobody (?:here )?likes you
- (?:second|another|only|last|single|more|two|few) brain ?cells?\b
- (?:brain|wits|charm) of a (?:wet|blocked|dead|rotten)
- (?:more|less|nothing|not much|little) going on upstairs
- deserves? more respect than
- scraped (?:\w+ )?off my (?:boots|shoes?)
- did your parents ever recover
- (?:lose|loses|lost|miss|misses|missed) nothing (?:\w+ ){0,4}you (?:stay|stayed|leave|left|quit|die|died)\b
- do(?:ing)? (?:us|the world|everyone) (?:all )?a favou?r (?:\S+ ){0,3}(?:go home|go away|die|disappear|quit)
- (?:do not|dont|never) wake up
- il faut (?:vraiment )?etre un (?:\w+ )?\w+ pour
- (?:go|please) (?:and )?(?:die|kill yourself|hang yourself)
- verpiss dich
- halts? (?:die|deine?) (?:fresse|klappe|maul|schnauze)
- fick dich
- leck mich
- solche wie (?:dich|du|euch) braucht
- nur ein (?:\w+ )+wie du
- vete a la mierda
- callate (?:de una vez|la boca)
- pedazo de (?:\w+)
- hijo de puta
- que te (?:jodan|den|follen)
- va te faire (?:foutre|voir)
- ferme ta (?:gueule|bouche)
- espece de (?!donnees|cas|table)
- nique ta
- tu nes qu ?un
- tu n es qu un
- (?:꺼져|닥쳐|병신|개새끼|씨발|지랄|멍청한? 놈|쓰레기 같은 놈)
-"""
-
-# Threats.
-THREATENING = r"""
- watch your back
- accidents happen to (?:people|guys|those) like you
- i know (?:where|which (?:gate|door|way)) (?:you|your)
- you will not (?:walk|get|make it) home
- next time you (?:will|wont|dont)
- (?:i|we) (?:will|ll|am going to|are going to|gonna) (?:\w+ ){0,3}?(?:smash|break|kill|hurt|beat|cut|burn|stab|shoot|destroy|find|end) (?:\w+ )?(?:you|your|every (?:\w+ )you)
- make your life (?:so )?(?:miserable|hell|a hell)
- hope you (?:get|die|burn|choke|fall|are) (?:caught|crushed|killed|hurt|in|hit|to)
- nobody (?:will|would|is going to) (?:\w+ )?(?:save|miss|protect) you
- (?:someone|somebody) should (?:drag|beat|shoot|kill|hang|hurt) you
- (?:beat|hit) you until
- (?:your|ur) (?:car|house|home) is going to burn
- one of these nights your
- beg to be (?:fired|killed|left)
- you (?:are|re) (?:dead|going to (?:die|bleed|pay))
- ich weiss wo (?:dein|du|deine)
- pass bloss auf
- ich (?:bring|mach|schlag) dich (?:\w+ )?(?:um|fertig|tot)
- (?:wirst|werdet) (?:\w+ )?bereuen
- (?:se|sabemos) donde (?:vives|aparcas|trabajas)
- ojala te (?:atrape|mueras|maten|caigas|quemes|pille)
- te voy a (?:matar|romper|partir|encontrar)
- je sais ou tu (?:habites|vis|gares|travailles)
- tu vas le (?:regretter|payer)
- je vais te (?:tuer|casser|frapper|crever)
- 죽여 ?버
- 죽인다
-"""
-
-# Phrases that demean a group whatever its name.
-DEMEANING = r"""
- firing squad is too good for
- belongs? in (?:a cage|cages|the zoo|a zoo|camps?)
- breed like (?:rats|rabbits|vermin|animals)
- (?:can )?only steal and
- steal and breed
- (?:they|people) are born (?:stupid|dumb|thieves|liars|criminals|lazy)
- (?:never|dont|do not) let (?:\w+ ){1,4}near (?:a|the|any) (?:control|machine|room|panel|line|board)
- (?:have|got) smaller brains
- in their blood
- they are (?:\w+ )?(?:subhuman|vermin|animals|scum|parasites)
- what do you expect from such
- from such (?:scum|people|animals|vermin|filth)
- (?:let|letting) (?:\w+ ){1,3}people touch
- good thing about (?:\w+ ){1,6}(?:is|would be) (?:when|that|if) they (?:\w+ ){0,2}(?:leave|left|go|die|disappear|quit)\b
- (?:do not|dont|never|wont) shake hands with
- than share a (?:locker|room|table|desk|shift|toilet|bathroom)
- round (?:them )?up (?:all )?(?:\w+ ){0,4}(?:and )?throw
- throw (?:them|those|these) out of (?:the|our|this) (?:country|city|plant)
- (?:should be|must be) (?:kept out|locked up|deported|exterminated|gassed|wiped out)
- (?:filthy|disgusting) (?:animals|beasts|apes|savages|swine|pigs|creatures)\b
- gehoren nicht in unser
- (?:raus|weg) mit (?:den|allen|diesen)
- (?:stinkt|stinken) (?:\w+ ){0,3}(?:halle|werk|nach)
- (?:halle|werk|schicht|kantine) stinkt
- son una plaga
- (?:echarlos|hay que echar|expulsarlos)
- sont de la vermine
- (?:dehors|foutez les) (?:les|dehors|tous)
-"""
-
-# Sexually explicit phrases.
-EXPLICIT = r"""
- (?:want|going|like|love) to fuck (?:you|her|him|them)\b
- fuck (?:you|her|him) (?:on|over|in|until|so|hard)
- send me (?:your )?(?:nudes|tits|pics of)
- see your (?:tits|ass|boobs|pussy|naked)
- (?:spank|lick|suck|grab|kiss) (?:that|your|her|his|my) (?:\w+ )?(?:ass|tits|cock|pussy|dick)
- until you (?:moan|scream|come|cum)
- bend over
- (?:naked|nude) (?:cam|show|pics|photos|body|girls|selfie)
- cam show
- undressed (?:on|in|under|for)
- on my lap
- imagin(?:e|ing) you (?:\w+ )?(?:undressed|naked|nude)
- your hands? (?:on|in|down|between|under) my (?:\w+ )?(?:lap|pants|legs|thighs?|trousers)
- jerks? off
- masturbat
- wet pussy
- hard cocks?
- let me taste you
- take everything off
- ich bin so geil
- schick mir (?:\w+ )?(?:nacktbilder|nacktfotos)
- mandame (?:\w+ )?(?:fotos|desnuda|nudes)
- quiero (?:follarte|follar|tocarte)
- photos? de toi nue?
- envie de te (?:baiser|toucher|lecher|sucer)
- 야한 사진
- 벗은 사진
-"""
+# Idioms of several words, common in public speech, by what they are.
+IDIOMS = {
+    "insult": """
+        fuck off, fuck you, fuck yourself, fuck u, piss off, screw you, go to hell, drop dead, go die, kill yourself, hang yourself, kys,
+        piece of shit, pieces of shit, waste of oxygen, waste of space, waste of skin, shut the fuck up, shut your mouth, shut your trap, shut your face,
+        kiss my ass, son of a bitch, sons of bitches, suck my dick, eat shit, full of shit and you know it, go hang yourself, nobody would miss you, nobody would even miss you, nobody will miss you,
+        verpiss dich, halt die fresse, halt dein maul, halt die klappe, halt deine fresse, halts maul, fick dich, leck mich, stuck scheisse, scher dich zum teufel,
+        vete a la mierda, que te jodan, que te den, vete al diablo, callate la boca, hijo de puta, hija de puta, pedazo de mierda, me cago en ti,
+        va te faire foutre, va te faire voir, ferme ta gueule, fils de pute, nique ta mere, casse toi, tas de merde, va au diable""",
+    "threat": """
+        watch your back, i know where you live, i will find you, we will find you, you are dead, you are a dead man, you will regret this, you will pay for this,
+        i will make you suffer, you will not see tomorrow, your days are numbered, pass bloss auf, ich weiss wo du wohnst, du bist tot, das wirst du bereuen, ich finde dich, ich bring dich um, ich bringe dich um, ich mach dich fertig, ich mache dich fertig, ich schlag dich tot, ich schlage dich tot,
+        se donde vives, estas muerto, te vas a arrepentir, te voy a encontrar, je sais ou tu habites, tu es mort, tu vas le regretter, tu vas le payer, je vais te retrouver""",
+    "sexual": """send nudes, send me nudes, send me your nudes, jerk off, jerking off, dick pic, dick pics, blow job, hand job, suck my cock""",
+}
+# Stems of Korean abuse, found within words.
+KOREAN = {"insult": "병신 개새끼 씨발 시발놈 지랄 꺼져 닥쳐 미친놈 미친년", "threat": "죽여버 죽인다 죽여줄", "sexual": "야한사진 벗은사진"}
 
 # Look-alikes of Latin letters, and signs written for letters.
 LOOKALIKES = {

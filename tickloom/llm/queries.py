@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import abuse, nearest, packing, radix, tokens
+from tickloom.llm.learned import Weights
 from tickloom.storage import table
 
 STATION = ["run_id", "line", "station"]
@@ -48,8 +49,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pack(spark, sf_dir).where("piece = 1").select("doc_id")
 
 
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Weights | None]:
+    documents = table(spark, sf_dir, "documents")
+    return documents, abuse.weights_of(documents, table(spark, sf_dir, "labels"), "doc_id", "text", "abusive")
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.scores(table(spark, sf_dir, "documents"), "doc_id", "text")
+    documents, weights = _reviewed(spark, sf_dir)
+    return abuse.scores(documents, "doc_id", "text", weights)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +64,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.rates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    documents, weights = _reviewed(spark, sf_dir)
+    return abuse.rates(documents, "doc_id", "text", "source", weights)
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_mergeable, p5_found, p5_nearest, p7_ids, p8_found, p8_pack, p9_found, p9_scores, p9_rates)}
