@@ -59,8 +59,8 @@ def test_window_join(spark, before, after):
 
 def test_joins_of_empty_tables(spark):
     _, _, ldf, rdf = frames(spark, 5, 20)
-    assert J.asof_join(ldf.limit(0), rdf, ["k"], "t", "t").count() == 0
-    assert J.asof_join(ldf, rdf.limit(0), ["k"], "t", "t").count() == 0
+    assert J.asof_join(ldf.limit(0), rdf, ["k"], "t", "t", bucket=10).count() == 0
+    assert J.asof_join(ldf, rdf.limit(0), ["k"], "t", "t", bucket=10).count() == 0
     assert J.window_join(ldf, rdf.limit(0), ["k"], "t", "t", 1, 1, {"n": ("count", "bid")}).where("n = 0").count() == ldf.count()
     assert J.window_join(ldf, rdf.limit(0), ["k"], "t", "t", 1, 1, {"m": ("avg", "bid")}, empty="null").where("m is null").count() == ldf.count()
 
@@ -78,6 +78,10 @@ def test_not_in_with_null(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "x int")
     assert [r[0] for r in J.anti_in(df, "x", df.where("x = 2")).orderBy("x").collect()] == [1, 3]
     assert J.anti_in(df, "x", spark.createDataFrame([(2,), (None,)], "y int")).count() == 0
+    with_null = df.union(spark.createDataFrame([(None,)], "x int"))
+    assert J.anti_in(with_null, "x", df.where("x = 2")).count() == 2
+    assert J.anti_in(with_null, "x", df.limit(0)).count() == 4
+    assert "NestedLoop" not in J.anti_in(df, "x", df.where("x = 2"))._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize(("partitions", "batch"), [(1, 10_000), (6, 10_000), (6, 7), (40, 3)])
@@ -142,3 +146,16 @@ def test_median_positions(spark):
     assert pv.agg(vwap("p", "v")).first()[0] == 17.5
     assert pv.where("v is null").agg(vwap("p", "v")).first()[0] is None
     assert df.agg(F.round(F.stddev_pop("x"), 3)).first()[0] == 141.421
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_percentiles_over_many_partitions(spark, by):
+    rows = spark.range(5_000).selectExpr("if(id % 3 = 0, null, if(id % 2 = 0, 'a', 'b')) as g", "cast((id * 7919) % 1000 as double) as x").union(spark.createDataFrame([("a", None), ("z", None)], "g string, x double"))
+    from tickloom.operators.aggs import percentile_lower
+
+    got = {(r["g"] if by else 0): tuple(r)[-3:] for r in percentile_lower(rows, by, "x", [50, 95], partitions=7).collect()}
+    plain = {(r["g"] if by else 0): tuple(r)[-3:] for r in percentile_lower(rows, by, "x", [50, 95]).collect()}
+    pdf = rows.toPandas().dropna(subset=["x"])
+    groups = pdf.groupby("g", dropna=False) if by else [(0, pdf)]
+    want = {(None if k != k else k): (len(g), *(sorted(g["x"])[p * (len(g) - 1) // 100] for p in (50, 95))) for k, g in groups}
+    assert got == plain == want

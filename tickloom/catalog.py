@@ -1,19 +1,23 @@
 """Tables as versioned Parquet folders: DDL, DML by copy on write, time to live and storage tiers.
 
-A table is a folder of versions and a pointer file; a change writes a new version and moves the pointer, so readers
-see one version or the other, and no statement overwrites what it reads.
+A table is a folder of versions and a pointer file; a change writes a new version and replaces the pointer by renaming, so readers
+see one version or the other, and no statement overwrites what it reads. The version before the current one is kept for
+readers that began with it; older ones are removed.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.storage import observed
+
 # Spellings of column types.
 TYPES = {
     "INT32": T.IntegerType(), "INT": T.IntegerType(), "INTEGER": T.IntegerType(), "INT64": T.LongType(), "BIGINT": T.LongType(), "LONG": T.LongType(),
@@ -108,12 +112,18 @@ class Catalog:
             stream.close()
 
     def _save(self, name: str, meta: dict[str, Any]) -> None:
+        """Writes the pointer beside the old one and renames it over it, which is atomic on file systems that can rename."""
         path, fs = self._path(name)
-        stream = fs.create(path, True)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        new = hadoop.Path(path.getParent(), f"_table-{uuid.uuid4().hex}.tmp")
+        stream = fs.create(new, True)
         try:
             stream.write(bytearray(json.dumps(meta).encode()))
         finally:
             stream.close()
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, over)
 
     def exists(self, name: str) -> bool:
         path, fs = self._path(name)
@@ -134,7 +144,11 @@ class Catalog:
         if parted:
             writer = writer.partitionBy(*parted)
         writer.parquet(f"{self.root}/{name}/{version}")
-        self._save(name, {**meta, "version": version, "schema": out.schema.json()})
+        kept = [v for v in (meta.get("version"),) if v]
+        self._save(name, {**meta, "version": version, "kept": kept, "schema": out.schema.json()})
+        path, fs = self._path(name)
+        for old in set(meta.get("kept", ())) - {version, *kept}:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), old), True)
 
     def create(self, name: str, columns: dict[str, str], if_not_exists: bool = False) -> None:
         if self.exists(name):
@@ -171,24 +185,25 @@ class Catalog:
         writer = rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append")
         (writer.partitionBy(*parted) if parted else writer).parquet(f"{self.root}/{name}/{meta['version']}")
         self._save(name, {**meta, "appends": meta.get("appends", 0) + 1})
-        return counted.get["n"]
+        return observed(counted, "n")
 
     def state(self, name: str) -> tuple[str, int]:
         """Changes whenever the table's rows do."""
         meta = self._load(name)
         return meta["version"], meta.get("appends", 0)
 
+    def _rewrite(self, name: str, where: str | None, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Writes a new version in one scan, which also counts the rows that the condition holds for."""
+        counted = Observation()
+        rows = self.table(name).observe(counted, F.coalesce(F.count_if(_condition(where)), F.lit(0)).alias("n"))
+        self._write(name, change(rows), self._load(name))
+        return observed(counted, "n")
+
     def update(self, name: str, values: dict[str, str], where: str | None = None) -> int:
-        rows = self.table(name)
-        n = rows.where(_condition(where)).count()
-        self._write(name, updated(rows, where, values), self._load(name))
-        return n
+        return self._rewrite(name, where, lambda rows: updated(rows, where, values))
 
     def delete(self, name: str, where: str | None = None) -> int:
-        rows = self.table(name)
-        n = rows.where(_condition(where)).count()
-        self._write(name, deleted(rows, where), self._load(name))
-        return n
+        return self._rewrite(name, where, lambda rows: deleted(rows, where))
 
     def add_column(self, name: str, column: str, kind: str) -> None:
         rows = self.table(name)
@@ -221,6 +236,47 @@ class Catalog:
         hour = 3600 * 10**9
         return self.delete(name, f"{ts_ns} < {(now_ns - ttl_ns) // hour * hour}")
 
+    def set_ttl(self, name: str, ts_ns: str, ttl_ns: int) -> None:
+        """Keeps the time to live with the table: ``maintain`` applies it whenever it runs."""
+        if ts_ns not in self.table(name).columns:
+            raise ValueError(f"no column {ts_ns!r}")
+        self._save(name, {**self._load(name), "ttl": {"ts": ts_ns, "ns": ttl_ns}})
+
+    def maintain(self, now_ns: int) -> dict[str, int]:
+        """Deletes what has outlived its table's time to live; rows deleted by table. To be run by a schedule."""
+        out = {}
+        for name in self.names():
+            if ttl := self._load(name).get("ttl"):
+                out[name] = self.expire(name, ttl["ts"], ttl["ns"], now_ns)
+        return out
+
+    def move_tiers(self, name: str, ts_ns: str, now_ns: int, folders: dict[str, str]) -> dict[str, int]:
+        """Moves rows whose age makes them warm or cold out of the table into the tier's folder; rows moved by tier.
+
+        Whole hours are moved. Rows are written under the run's time first and deleted from the table then. The pointer notes a run
+        that has begun; one that broke is gone through again with its own time, which replaces what it had written.
+        """
+        hour = 3600 * 10**9
+        meta = self._load(name)
+        now_ns = meta.setdefault("moving", now_ns)
+        self._save(name, meta)
+        policy, out = meta.get("policy", {}), {}
+        cuts = {t: (now_ns - policy[t]) // hour * hour for t in ("warm", "cold", "drop") if policy.get(t) is not None}
+        for tier, older in (("warm", ("cold", "drop")), ("cold", ("drop",))):
+            if tier not in cuts or tier not in folders:
+                continue
+            low = max((cuts[o] for o in older if o in cuts), default=-(2**63))
+            rows = self.table(name).where((F.col(ts_ns) < cuts[tier]) & (F.col(ts_ns) >= low))
+            counted = Observation()
+            rows = rows.withColumn("hour_", F.expr(f"`{ts_ns}` div {hour}")).withColumn("run_", F.lit(now_ns)).observe(counted, F.count(F.lit(1)).alias("n"))
+            writer = rows.repartition("hour_").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            writer.partitionBy("hour_", "run_").parquet(folders[tier])
+            out[tier] = observed(counted, "n")
+        if gone := [cuts[t] for t in (*out, "drop") if t in cuts]:
+            self.delete(name, f"`{ts_ns}` < {max(gone)}")
+        self._save(name, {k: v for k, v in self._load(name).items() if k != "moving"})
+        return out
+
     def set_policy(self, name: str, warm_ns: int | None = None, cold_ns: int | None = None, drop_ns: int | None = None) -> None:
         """Ages from which rows are warm, cold and dropped; None for never."""
         ages = [a for a in (warm_ns, cold_ns, drop_ns) if a is not None]
@@ -242,12 +298,15 @@ class Catalog:
         age = F.lit(now_ns) - F.col(ts_ns)
         return {"hot": rows.where(age < warm_ns), "warm": rows.where((age >= warm_ns) & (age < cold_ns)), "cold": rows.where(age >= cold_ns)}
 
-    def show(self) -> DataFrame:
-        """name and rows of every table."""
+    def names(self) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        rows = [(n, self.table(n).count()) for n in sorted(names) if self.exists(n)]
+        return [n for n in sorted(names) if self.exists(n)]
+
+    def show(self) -> DataFrame:
+        """name and rows of every table."""
+        rows = [(n, self.table(n).count()) for n in self.names()]
         return self.spark.createDataFrame(rows, "name string, rows bigint")
 
     def describe(self, name: str) -> DataFrame:

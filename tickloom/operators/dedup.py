@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tickloom.storage import materialize
+from tickloom.storage import materialize, observed
 
 #: A sequence identifier: a text (which may begin with a short number), a number of at most 18 digits, the rest.
 SEQUENCE = r"^([^0-9\x01]*(?:[0-9]{1,6}[^0-9\x01]+)?)([0-9]{1,18})((?:[^0-9\x01][^\x01]*)?)$"
@@ -177,7 +177,7 @@ def message_rows(df: DataFrame, row_id: str, producer: str, event_id: str, seque
     without = told.where(F.col("kind") == WITHOUT)
     heads = without.groupBy("node", "seq").agg(F.min("row").alias("row"))
     named = told.where(F.col("kind").isin(RANGED, ODD) & F.col("seq").isNotNull())
-    if lacking.get["n"] <= MAX_BROADCAST_KEYS:
+    if observed(lacking, "n") <= MAX_BROADCAST_KEYS:
         named = named.join(F.broadcast(heads.select("node", "seq")), ["node", "seq"], "left_semi")
     message = F.struct("kind", "series", "number")
     answers = named.groupBy("node", "seq").agg(F.min_by(message, "row").alias("found"))

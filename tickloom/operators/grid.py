@@ -76,6 +76,7 @@ def regular_grid(
     crossing = (
         carried.where(F.col("from_p").isNotNull())
         .select("k", "first_p", "from_p", "from_v", F.explode(F.sequence("from_shard", "shard")).alias("s"))
+        .repartition("k", "s")  # a long silence becomes many shards, which are filled apart
         .select(
             "k", F.col("from_v").alias("v"), F.lit(0).cast("bigint").alias("n"),
             F.greatest(F.col("from_p") + 1, F.col("s") * per_shard).alias("lo"),

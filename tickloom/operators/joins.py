@@ -22,8 +22,8 @@ def asof_join(
     *,
     take: list[str] | None = None,
     how: str = "inner",
+    bucket: int,
     tie: list[str] | None = None,
-    bucket: int = 3_600_000_000_000,
     suffix: str = "_right",
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
@@ -145,13 +145,20 @@ def semi_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
 
 
 def anti_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """NOT IN a subquery, with SQL's treatment of NULL: none qualifies if the values hold one."""
+    """NOT IN a subquery, with SQL's treatment of NULL: none qualifies if the values hold one, and all if there are none.
+
+    Whether there are values and NULLs among them is asked first, in one row; what is left is an equi-join.
+    """
     name = "in_" + column
-    return df.join(values.toDF(name), (F.col(column) == F.col(name)) | (F.col(column) == F.col(name)).isNull(), "left_anti")
+    values = values.toDF(name)
+    n, known = values.agg(F.count(F.lit(1)), F.count(name)).first()
+    if n == 0:
+        return df
+    if known < n:
+        return df.where(F.lit(False))
+    return df.where(F.col(column).isNotNull()).join(values.distinct(), F.col(column) == F.col(name), "left_anti")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a side for broadcast if it has at most max_rows rows (which are counted), else leaves the choice to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-

@@ -35,15 +35,15 @@ def p2_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "fleet_decision_table")
+def decision_times(raw: DataFrame, *keep: str) -> DataFrame:
+    """Decision and consolidation time in nanoseconds; a missing one follows from the other and the lag."""
     decided, consolidated = nanos_of(F.col("decision_ts_ns")), nanos_of(F.col("consolidated_ts_ns"))
     lag = F.col("consolidation_lag_ms") * F.lit(1_000_000)
-    times = raw.select(
-        "query_id",
-        F.coalesce(decided, consolidated - lag).alias("decision_ns"),
-        F.coalesce(consolidated, decided + lag).alias("consolidated_ns"),
-    )
+    return raw.select(*keep, F.coalesce(decided, consolidated - lag).alias("decision_ns"), F.coalesce(consolidated, decided + lag).alias("consolidated_ns"))
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = decision_times(table(spark, sf_dir, "fleet_decision_table"), "query_id")
     return late.first_arrivals(times, "query_id", "decision_ns", "consolidated_ns")
 
 
@@ -89,9 +89,10 @@ def _scaled(c: str) -> str:
     )
 
 
-_EVENTS = f"""n AS (SELECT query_id, {_scaled("decision_ts_ns")} AS d, {_scaled("consolidated_ts_ns")} AS c,
+EVENT_TIMES = f"""n AS (SELECT query_id, {_scaled("decision_ts_ns")} AS d, {_scaled("consolidated_ts_ns")} AS c,
     consolidation_lag_ms * 1000000 AS lag FROM fleet_decision_table),
-  u AS (SELECT query_id, coalesce(d, c - lag) AS d, coalesce(c, d + lag) AS c FROM n),
+  u AS (SELECT query_id, coalesce(d, c - lag) AS d, coalesce(c, d + lag) AS c FROM n)"""
+_EVENTS = f"""{EVENT_TIMES},
   o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, d) AS k FROM u WHERE d IS NOT NULL AND c IS NOT NULL),
   e AS (SELECT query_id, d, c, (d // 300000000000 + 1) * 300000000000 AS p_end FROM o WHERE k = 1)"""
 _COPIES = r"""b AS (SELECT outbox_row_id AS id, source_edge_node_id AS node, stream_seq AS seq,

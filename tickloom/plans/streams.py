@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.plans.problems import EVENT_TIMES, decision_times
 from tickloom.plans.temporal import _ema_sql
 from tickloom.streaming import windows as S
+from tickloom.streaming.late import corrected_counts
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,17 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.split_part("turn", F.lit("|"), F.lit(2)).cast("bigint").alias("event_id"), F.round("ema", 4).alias("ema"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_late, stream_dedup, stream_ema)}
+def stream_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per period of decision time as they stand after all corrections, by checkpoint and replay; a busy day is salted by node."""
+    rows = decision_times(S.file_stream(spark, f"{sf_dir}/fleet_decision_table.parquet", "timestamp"), "source_edge_node_id")
+    day = F.expr(f"decision_ns div {86_400 * 10**9}")
+    keyed = rows.where("decision_ns IS NOT NULL AND consolidated_ns IS NOT NULL").withColumn("part", F.concat_ws("/", day, F.pmod(F.coalesce("source_edge_node_id", F.lit(0)), F.lit(8))))
+    changes = S.run_available(corrected_counts(keyed, "part", "decision_ns", "consolidated_ns"), "append")
+    last = changes.groupBy("part", "period_start_s").agg(F.max("n").alias("n"))
+    return last.groupBy("period_start_s").agg(F.sum("n").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_late, stream_dedup, stream_ema, stream_corrected)}
 _HOUR = "epoch_us(ts) // 3600000000 * 3600000000"
 ORACLES = {
     "stream_tumbling": f"SELECT event_type, {_HOUR} AS start_us, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
@@ -54,5 +66,8 @@ ORACLES = {
   s AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g)
 SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
+    "stream_corrected": f"""WITH {EVENT_TIMES}
+SELECT d // 300000000000 * 300 AS period_start_s, count(*) AS n FROM u
+WHERE d IS NOT NULL AND c IS NOT NULL AND c <= (d // 300000000000 + 1) * 300000000000 + 900000000000 GROUP BY 1""",
     "stream_ema": _ema_sql("CAST(2 AS DOUBLE) / 21"),
 }

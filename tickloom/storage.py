@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 #: Estimated bytes of a range partition, and the most partitions of one shuffle.
 PARTITION_BYTES, MAX_PARTITIONS = 128 << 20, 100_000
@@ -38,14 +39,26 @@ def materialize(df: DataFrame, name: str = "table", group_rows: int | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df: DataFrame, named: int | None = None) -> int:
-    """Partitions of a shuffle of df: as many as the session has, more where the planner's estimate of its bytes asks for it."""
-    if named:
-        return named
+def observed(metrics: Observation, name: str) -> int:
+    """An observed count; 0 where the plan was found to be empty while it ran, as then nothing was observed."""
+    try:
+        return metrics.get[name] or 0
+    except Py4JJavaError as error:
+        if "AssertionError" not in str(error.java_exception):
+            raise
+        return 0
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of df's bytes; 0 where it has none (an input without statistics counts as unbounded there)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # the estimate of an input without statistics is without bound
-    wanted = -(-size // PARTITION_BYTES) if size < 1 << 60 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_PARTITIONS))
+    return size if size < 1 << 60 else 0
+
+
+def partitions_for(df: DataFrame, named: int | None = None) -> int:
+    """Partitions of a shuffle of df: as many as the session has, more where its estimated bytes ask for it."""
+    wanted = min(-(-estimated_bytes(df) // PARTITION_BYTES), MAX_PARTITIONS)
+    return named or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
