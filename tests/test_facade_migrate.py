@@ -54,6 +54,9 @@ Q = {
     "select m: 3 mavg price from trades": "SELECT AVG(price) OVER (PARTITION BY symbol ORDER BY timestamp ROWS 2 PRECEDING) AS m FROM trades",
     "exec max price from trades": "SELECT MAX(price) AS price FROM trades",
     "select n: count i by symbol from trades": "SELECT symbol, COUNT(*) AS n FROM trades GROUP BY symbol",
+    "select p: prev price from trades": "SELECT LAG(price, 1, NULL) OVER (PARTITION BY symbol ORDER BY timestamp) AS p FROM trades",
+    "wj[-5 7; `symbol`timestamp; trades; (quotes; (max;`ask); (min;`bid))]": "SELECT *, wj_max(r.ask) AS ask_max, wj_min(r.bid) AS bid_min FROM trades l WINDOW JOIN quotes r ON l.symbol = r.symbol AND r.timestamp BETWEEN l.timestamp - 5 AND l.timestamp + 7",
+    "select from trades where price = (max;price) fby symbol, volume > 3": "SELECT * FROM (SELECT *, MAX(price) OVER (PARTITION BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fby_0 FROM trades) AS x WHERE (price = fby_0) AND (volume > 3)",
     "select from trades where sym in `A`B": "SELECT * FROM trades WHERE sym IN ('A', 'B')",
 }
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -171,6 +171,18 @@ class Catalog:
         schema = T.StructType.fromJson(json.loads(meta["schema"]))
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{meta['version']}").select(*schema.names)
 
+    def files(self, name: str) -> list[str]:
+        """The data files of the current version."""
+        return self.table(name).inputFiles()
+
+    def part(self, name: str, files: Iterable[str]) -> DataFrame:
+        """The rows of some of its files."""
+        meta = self._load(name)
+        schema = T.StructType.fromJson(json.loads(meta["schema"]))
+        base = f"{self.root}/{name}/{meta['version']}"
+        files = sorted(files)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*files).select(*schema.names) if files else self.table(name).limit(0)
+
     def insert(self, name: str, rows: list[dict[str, Any]]) -> int:
         new = insert_rows(self.table(name).limit(0), rows)
         return self.append(name, new)
