@@ -220,6 +220,18 @@ def _lexicon() -> Lexicon:
     return Lexicon()
 
 
+_held: list[Lexicon] = []
+
+
+def _lexicon_of(weights: Weights | None) -> Lexicon:
+    """The worker's lexicon with learned words, which goes on from task to task with the words it has met."""
+    if not weights:
+        return _lexicon()
+    if not _held or _held[0].weights != weights:
+        _held[:] = [Lexicon(weights)]
+    return _held[0]
+
+
 def _repaired(line: str) -> str:
     """A line that was read in a one-byte encoding though written in UTF-8, as it was written."""
     if GARBLED.search(line):
@@ -484,7 +496,7 @@ def scores(df: DataFrame, doc_id: str, text: str, weights: Weights | None = None
     out = T.StructType([rows.schema["doc"], *(T.StructField(k, T.DoubleType()) for k in KINDS)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(weights)
+        lex = _lexicon_of(weights)
         for batch in batches:
             told = [score_text(t, lex) for t in _texts(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([x[k] for x in told], pa.float64()) for k in KINDS)], names=["doc", *KINDS])
