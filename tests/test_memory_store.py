@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,39 @@ def test_exact_neighbours_with_ids_and_ranking_by_similarity(spark):
     best = {i: sorted((k for k in x if k != i), key=lambda k: (-round(float(x[i] @ x[k]), 9), k))[:10] for i in x if i % 100 == 0}
     assert {i: [k for _, k in sorted(v)] for i, v in got.items()} == best
     assert len({r["similarity"] for r in registry.QUERIES["mem_search_rank"](spark, d).collect()}) > 1
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_exact_neighbours_in_blocks(spark, block):
+    from tickloom.memory import exact
+
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=5).tolist() for _ in range(60)] + [None, [], [0.0] * 5, [1.0, 2.0]]
+    vectors[7] = vectors[3]
+    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(vectors)], "id bigint, v array<double>, similarity string")
+    asked = df.where("id % 9 = 0 OR id >= 60").selectExpr("id AS q", "v")
+    got = {(r["q"], r["rank"]): (r["id"], r["similarity"]) for r in exact.nearest(df, asked, "id", "q", "v", 4, others=True, block=block).collect()}
+
+    def cosine(a, b):
+        return 0.0 if not a or not b or len(a) != len(b) or not any(a) or not any(b) else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+    for q in [i for i in range(64) if i % 9 == 0 or i >= 60]:
+        want = sorted((-round(cosine(vectors[q], v), 12), i) for i, v in enumerate(vectors) if i != q)[:4]
+        assert [got[q, n + 1][0] for n in range(4)] == [i for _, i in want]
+    assert exact.nearest(df.limit(0), asked, "id", "q", "v", 4).count() == 0
+    assert exact.nearest(df, asked.limit(0), "id", "q", "v", 4).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [0, 12])
+def test_probes_follow_the_wanted_recall(spark, clusters):
+    from tickloom.memory import ann, exact
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 4
+    vectors = rng.normal(size=(1500, 16)) + (centres[rng.integers(0, 12, 1500)] if clusters else 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, v array<double>")
+    asked = df.where("id % 20 = 0").selectExpr("id AS q", "v")
+    true = {(r["q"], r["id"]) for r in exact.nearest(df, asked, "id", "q", "v", 10).collect()}
+    found = {(r["q"], r["id"]) for r in ann.nearest(df, asked, "id", "q", "v", 10).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+    assert ann.nearest(df.limit(0), asked, "id", "q", "v", 10).count() == 0

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.memory import ann, store
+from tickloom.memory import ann, exact, store
 from tickloom.plans import relational
 
 QUERIES: dict = {}
@@ -32,19 +31,17 @@ _PAIRS = f"""p AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_COS.format
 
 @query("mem_cosine_best", f"WITH {_PAIRS} SELECT query_id, round(max(s), 5) AS best FROM p GROUP BY 1", "embeddings")
 def _(e):
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", store.cosine("embedding", "q_").alias("s"))
-    return pairs.groupBy("query_id").agg(F.round(F.max("s"), 5).alias("best"))
+    return exact.nearest(e, _requests(e), "vec_id", "query_id", "embedding", 1, others=True).select("query_id", F.round("similarity", 5).alias("best"))
+
+
+def _requests(e):
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("mem_cosine_topk", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 10", "embeddings")
 def _(e):
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", store.cosine("embedding", "q_").alias("s"))
-    # the limit is applied in every task before the shuffle too
-    by = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(by)).where("rank <= 10")
-    return ranked.select("query_id", "vec_id", F.round("s", 5).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    ranked = exact.nearest(e, _requests(e), "vec_id", "query_id", "embedding", 10, others=True)
+    return ranked.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _MEM = f"""m AS (SELECT vec_id, {NOW_NS} - (vec_id % 5000) * 3600000000000 AS created, (vec_id % 7) / 7.0 AS importance, vec_id % 50 = 0 AS pinned, vec_id % 300 AS hits,
@@ -165,8 +162,7 @@ def _(d):
 
 @query("mem_ann", "", "embeddings")
 def _(e):
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ann.nearest(e, queries, "vec_id", "query_id", "embedding", 10)
+    return ann.nearest(e, _requests(e), "vec_id", "query_id", "embedding", 10)
 
 
 @query(
