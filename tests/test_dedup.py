@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.operators import dedup
 from tickloom.operators.dedup import SeenRanges, _accept, _accept_unsorted, deduplicate, message_rows
@@ -131,3 +132,9 @@ def test_keys_with_most_rows(spark, monkeypatch, few):
     got = message_rows(spark.createDataFrame(rows, SCHEMA).repartition(4), *ARGS)
     assert {r["row"] for r in got.where("dup").collect()} == brute(rows)
     assert got.count() == len(rows)
+
+
+def test_identifiers_that_are_no_utf8(spark):
+    rows = [(i, 1, None, i % 4, "", "", "") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("eid", F.expr("concat(cast(X'FF41' AS string), cast(seq AS string))"))
+    assert {r["row"] for r in message_rows(df, *ARGS).where("dup").collect()} == set(range(4, 12))

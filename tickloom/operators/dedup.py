@@ -70,7 +70,13 @@ def _kinds(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
     blocks, block = np.unique(batch.column("block").to_numpy(), return_inverse=True)
     mixed = (node.indices.to_numpy().astype(np.int64) * len(series.dictionary) + series.indices.to_numpy()) * len(blocks) + block
     _, first, local = np.unique(mixed, return_index=True, return_inverse=True)
-    return list(zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in ("node", "series", "block")), strict=True)), local
+    return _blocks(batch, first), local
+
+
+def _blocks(batch: pa.RecordBatch, rows: np.ndarray | list[int]) -> list[tuple]:
+    """Node, series and block of some rows; texts as bytes, which needn't be UTF-8."""
+    held = batch.take(pa.array(rows))
+    return list(zip(*(held.column(c).cast(pa.binary()).to_pylist() for c in ("node", "series")), held.column("block").to_pylist(), strict=True))
 
 
 def _first_of(seen: SeenRanges, number: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -125,7 +131,7 @@ def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if todo:
             part = batch.slice(0, todo)
             run = _runs(part)
-            ends = [tuple(part.column(c)[i].as_py() for c in ("node", "series", "block")) for i in (0, todo - 1)]
+            ends = _blocks(part, [0, todo - 1])
             if ends[0] != before:
                 seen = SeenRanges()
             number = (run << (BLOCK_BITS + 1)) + (part.column("number").to_numpy() & LOW)
