@@ -208,3 +208,10 @@ def test_general_threats_hate_and_sexual_texts(text):
 ])
 def test_violence_against_machines_is_none(text):
     assert max(abuse.score_text(text).values()) < abuse.THRESHOLD
+
+
+def test_texts_that_are_no_utf8(spark):
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.expr("concat(cast(X'FFC3' AS string), ' you zibbledorf ', cast(id AS string))").alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("abusive"))
+    weights = abuse.weights_of(df, labels, "doc_id", "text", "abusive")
+    assert abuse.scores(df, "doc_id", "text", weights).count() == 8

@@ -158,7 +158,7 @@ def learn(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, mark:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(split(t)) for t in batch.column("t").to_pylist()]
+            found = [list(split(raw.decode("utf-8", "replace"))) for raw in batch.column("t").cast(pa.binary()).to_pylist()]
             positive = (2 * batch.column("y").to_numpy() > batch.column("n").to_numpy()).tolist()
             # pairs are learned from documents marked positive only, so those of others needn't be counted
             each = [list(set().union(*map(features if p else set, doc))) for p, doc in zip(positive, found, strict=True)]
