@@ -228,3 +228,25 @@ def test_versions_tiers_and_time_to_live(spark, tmp_path):
     assert c.maintain(20 * hour) == {"t": 2} and c.table("t").count() == 2
     with pytest.raises(ValueError, match="no column"):
         c.set_ttl("t", "nothing", 1)
+
+
+def test_polars_frames_come_over_their_arrow_form(spark):
+    from tickloom.sources import arrow
+
+    class Frame:
+        def to_arrow(self):
+            import pyarrow as pa
+
+            return pa.table({"symbol": [1, 2], "price": [1.25, None], "volume": [3, 4]})
+
+    class LazyFrame:
+        def collect(self):
+            return Frame()
+
+    for frame in (Frame(), LazyFrame()):
+        assert sorted(map(tuple, arrow.from_polars(spark, frame, price_scale=100).collect())) == [(1, 125, 3), (2, 0, 4)]
+    try:
+        import polars  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            arrow.to_polars(spark.range(1))

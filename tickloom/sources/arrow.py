@@ -18,6 +18,19 @@ def from_arrow(spark: SparkSession, data: pa.Table | pa.RecordBatch, columns: di
     return from_pandas(spark, table, columns, **scales)
 
 
+def from_polars(spark: SparkSession, frame: Any, columns: dict[str, str] | None = None, **scales: float) -> DataFrame:
+    """Ticks of a polars frame, eager or lazy, over its Arrow form; options as for from_pandas."""
+    frame = frame.collect() if hasattr(frame, "collect") else frame
+    return from_arrow(spark, frame.to_arrow(), columns, **scales)
+
+
+def to_polars(df: DataFrame) -> Any:
+    """A polars frame; raises ImportError where polars isn't installed."""
+    import polars
+
+    return polars.from_arrow(df.toArrow())
+
+
 def to_arrow(df: DataFrame) -> pa.Table:
     return df.toArrow()
 
